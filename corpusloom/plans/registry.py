@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage."""
 
-from corpusloom.plans import problems
+from corpusloom.plans import problems, reader
 
-QUERIES = dict(problems.QUERIES)
-SQL = dict(problems.SQL)
+QUERIES = problems.QUERIES | reader.QUERIES
+SQL = problems.SQL | reader.SQL
