@@ -22,6 +22,8 @@ from corpusloom.llm import abuse_seed
 
 #: n-gram lengths, buckets (a power of two), smoothing, ridge penalty and steps of the fit.
 ORDERS, BITS, ALPHA, RIDGE, STEPS = (2, 3, 4, 5, 6), 20, 1.0, 1e-5, 60
+#: Sentences turned into features at a time, which bounds the memory of the fit.
+CHUNK = 1000
 #: Labelled sentences drawn for training, rows of the corpus looked at for harmless examples (both bounds), seed.
 LABELLED, UNLABELLED, SEED = 16_000, 12_000, 20240613
 #: Corpus sentences under CALM in the first fit serve as harmless ones in the second; texts from LIMIT on are cases.
@@ -120,30 +122,38 @@ def fit(lines: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
 
     Every sentence counts all of its n-grams once, and both classes weigh the same. Equal input gives an equal model.
     """
-    y = np.asarray(labels, dtype=float)
-    buckets, owners = _features(lines)
-    pairs = np.unique(owners.astype(np.int64) << BITS | buckets)
-    owners, buckets = (pairs >> BITS).astype(np.int32), (pairs & ((1 << BITS) - 1)).astype(np.int32)
-    del pairs
-    size, n = 1 << BITS, len(lines)
-    bad = np.bincount(buckets, y[owners], size) + ALPHA
-    good = np.bincount(buckets, 1 - y[owners], size) + ALPHA
+    y, n, size = np.asarray(labels, dtype=float), len(lines), 1 << BITS
+    parts, bad, good = [], np.full(size, ALPHA), np.full(size, ALPHA)
+    for at in range(0, n, CHUNK):
+        buckets, owners = _features(lines[at : at + CHUNK])
+        pairs = np.unique(owners.astype(np.int64) << BITS | buckets)
+        owners, buckets = pairs >> BITS, (pairs & (size - 1)).astype(np.int32)
+        counts = np.bincount(owners, minlength=len(lines[at : at + CHUNK]))
+        mine = y[at : at + CHUNK]
+        bad += np.bincount(buckets, np.repeat(mine, counts), size)
+        good += np.bincount(buckets, np.repeat(1 - mine, counts), size)
+        parts.append((slice(at, at + len(counts)), buckets, counts))
     ratio = np.log(bad / bad.sum()) - np.log(good / good.sum())
-    ratio[(bad == ALPHA) & (good == ALPHA)] = 0
-    used, buckets = np.unique(buckets, return_inverse=True)
-    value, m = ratio[used][buckets], len(used)
+    used = np.flatnonzero((bad > ALPHA) | (good > ALPHA))
+    ratio, m = ratio[used], len(used)
+    place = np.zeros(size, dtype=np.int32)
+    place[used] = np.arange(m, dtype=np.int32)
+    parts = [(rows, place[buckets], counts) for rows, buckets, counts in parts]
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / n
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(owners, value * w[buckets], n) + w[m]
-        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        g = (p - y) * balance
-        grad = np.append(np.bincount(buckets, value * g[owners], m) + RIDGE * w[:m], g.sum())
-        return float((balance * (np.logaddexp(0, z) - y * z)).sum() + RIDGE / 2 * (w[:m] @ w[:m])), grad
+        scaled, z, grad = (ratio * w[:m]).astype(np.float32), np.empty(n), np.zeros(m)
+        for rows, buckets, counts in parts:
+            z[rows] = np.bincount(np.repeat(np.arange(len(counts)), counts), scaled[buckets], len(counts)) + w[m]
+        g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * balance
+        for rows, buckets, counts in parts:
+            grad += np.bincount(buckets, np.repeat(g[rows], counts), m)
+        value = float((balance * (np.logaddexp(0, z) - y * z)).sum() + RIDGE / 2 * (w[:m] @ w[:m]))
+        return value, np.append(grad * ratio + RIDGE * w[:m], g.sum())
 
     w = _minimum(loss, np.zeros(m + 1))
     weights = np.zeros(size, dtype=np.float32)
-    weights[used] = w[:m] * ratio[used]
+    weights[used] = w[:m] * ratio
     return weights, float(w[m])
 
 
