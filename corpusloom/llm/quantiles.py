@@ -182,18 +182,35 @@ def _codes(pdf: pd.DataFrame, groups: list[str]) -> tuple[np.ndarray, list[tuple
 
 
 def _merged(parts: DataFrame, groups: list[str], k: int) -> DataFrame:
-    """Sketches with the same ``groups`` become one; those with no other of their group pass through the same way."""
-    types = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
+    """Sketches with the same ``groups`` become one.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [tuple(r) for r in pdf[PARTS].sort_values(["n", "low", "high", "err"], kind="stable").itertuples(index=False)]
-        first = Sketch.of(*rows[0], k=k)
-        for r in rows[1:]:
-            first.merge(Sketch.of(*r, k=k))
-        return pd.DataFrame([(*pdf[groups].iloc[0], *first.state().values())], columns=[*groups, *PARTS])
+    Rows come sorted by group, so that a task walks through any number of groups in one pass and holds one sketch at a
+    time; the order within a group is that of the sketches, so that the result does not depend on who came first.
+    """
+    types = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, out = None, None, []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                key, mine = tuple(None if pd.isna(x) else x for x in row[: len(groups)]), Sketch.of(*row[len(groups) :], k=k)
+                if held is not None and key == at:
+                    held.merge(mine)
+                    continue
+                if held is not None:
+                    out.append((*at, *held.state().values()))
+                at, held = key, mine
+                if len(out) >= 500:
+                    yield pd.DataFrame(out, columns=[*groups, *PARTS])
+                    out = []
+        if held is not None:
+            out.append((*at, *held.state().values()))
+        yield pd.DataFrame(out, columns=[*groups, *PARTS])
+
+    keys = [F.col(f"`{g}`") for g in groups]
+    near = parts.repartition(*keys) if keys else parts.coalesce(1)
     schema = ", ".join([f"`{g}` {types[g]}" for g in groups] + [STATE])
-    return parts.groupBy(*[F.col(f"`{g}`") for g in groups]).applyInPandas(run, schema) if groups else parts.groupBy(F.lit(0)).applyInPandas(run, schema)
+    return near.select(*keys, *PARTS).sortWithinPartitions(*keys, "n", "low", "high", "err").mapInPandas(run, schema)
 
 
 def merge_sketches(parts: DataFrame, groups: list[str], k: int = K) -> DataFrame:
