@@ -255,7 +255,11 @@ SHARES = [0.05, 0.5, 0.9, 0.99]
 
 
 def post_time_percentiles(posts: DataFrame, k: int = K) -> DataFrame:
-    """zcreatedat percentiles of each zaccount (NULL is a group), from one sketch for each outlet and ingest day."""
+    """zcreatedat percentiles of each zaccount (NULL is a group): for each ingest day, and for all days together.
+
+    Rows of scope 'day' come from the sketch of one outlet and day, the row of scope 'all' from those sketches merged.
+    """
     daily = durable(sketches(posts.select("zaccount", F.to_date("ingested_at").alias("ingest_day"), "zcreatedat"), ["zaccount", "ingest_day"], "zcreatedat", k), "daily")
-    found = percentiles(merge_sketches(daily, ["zaccount"], k), ["zaccount"], SHARES)
-    return found.select("zaccount", "n", *[F.col("percentiles")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(SHARES)], "rank_error")
+    of_day = percentiles(daily, ["zaccount", "ingest_day"], SHARES).withColumn("scope", F.lit("day"))
+    whole = percentiles(merge_sketches(daily, ["zaccount"], k), ["zaccount"], SHARES).withColumns({"scope": F.lit("all"), "ingest_day": F.lit(None).cast("date")})
+    return of_day.unionByName(whole).select("scope", "zaccount", "ingest_day", "n", *[F.col("percentiles")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(SHARES)], "rank_error")
