@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage."""
 
-from corpusloom.plans import problems, reader
+from corpusloom.plans import analysis, problems, reader
 
-QUERIES = problems.QUERIES | reader.QUERIES
-SQL = problems.SQL | reader.SQL
+QUERIES = problems.QUERIES | reader.QUERIES | analysis.QUERIES
+SQL = problems.SQL | reader.SQL | analysis.SQL
