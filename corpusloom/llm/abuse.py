@@ -230,11 +230,17 @@ def scores(texts: pd.Series, weights: np.ndarray, bias: float) -> pd.Series:
     return pd.Series(out)
 
 
-def corpus_sample(tables: list[tuple[DataFrame, str]], most: int = UNLABELLED) -> list[str]:
-    """At most ``most`` texts, the same ones for the same rows: those with the least hashes."""
-    texts = [df.select(F.col(c).alias("text")).filter(F.length("text") > 0) for df, c in tables]
-    whole = functools.reduce(DataFrame.unionByName, texts)
-    return [r["text"] for r in whole.orderBy(F.xxhash64("text"), "text").limit(most).collect()]
+def corpus_sample(tables: list[tuple[DataFrame, str, list[str]]], most: int = UNLABELLED) -> list[str]:
+    """At most ``most`` texts of (table, text column, keys), the same ones for the same rows: those with the least hashes.
+
+    Rows above a hash that nearly twice as many rows lie under are left out by each task, so that the driver gets a
+    bounded number of texts from however many tasks.
+    """
+    rows = [df.select(F.col(c).alias("text"), F.xxhash64(*keys).alias("h")) for df, c, keys in tables]
+    whole = functools.reduce(DataFrame.unionByName, rows)
+    share = min(1.0, (1.8 * most + 1000) / max(1, whole.count()))
+    low = whole.filter((F.length("text") > 0) & (F.col("h") <= F.lit(min((1 << 63) - 1, int((2 * share - 1) * (1 << 63))))))
+    return [r["text"] for r in low.orderBy("h", "text").limit(most).collect()]
 
 
 def abuse_score(df: DataFrame, text: Column, model: tuple[np.ndarray, float], name: str = "abuse_score") -> DataFrame:

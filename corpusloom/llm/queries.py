@@ -32,7 +32,7 @@ def p2_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _abuse_model(spark: SparkSession, sf_dir: str):
-    return abuse.train(abuse.corpus_sample([(table(spark, sf_dir, "zpost"), "ztext"), (table(spark, sf_dir, "messages"), "text")]))
+    return abuse.train(abuse.corpus_sample([(table(spark, sf_dir, "zpost"), "ztext", ["z_pk"]), (table(spark, sf_dir, "messages"), "text", ["channel", "msg_id"])]))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
