@@ -73,20 +73,32 @@ _MENTION = re.compile(
 )
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”“)]*\s+(?=\S)")
 _LEAD = re.compile(r"^(?:[\s>*•·–—#|-]+|@[\w.-]+:\s*|https?://\S+\s*|(?:<(?!%|<|noscript)/?[a-z]+\d?\s*/?>\s*))+", re.I)
-#: One of these stands in every sentence with evidence; most sentences have none and are done with.
-_HINT = re.compile(
-    r"[{}\[\]%~@$]|__|<<|<%|<no|&lt;|\bhere\b|\bhier\b|undefined|null|\bnone\b|\bnan\b|\bnil\b|n/a|invalid|ipsum|dolor|tempor|aliqua|text\b|platzhalter|placeholder|asdf|qwer|\btest\b|tk ?tk|folgt|einsetzen|replace|\b[45]\d\d\b|error|fehler|wrong|oops|found|gefunden|exist|available|verf|removed|broken|request|server|gateway|forbidden|gone\b|denied|verweigert|again|later|erneut|permission|berechtigung|browser|verify|human|robot|captcha|traffic|warning|traceback|exception|fetch|guru|database|expired|abgelaufen|trouble|load|script|skript|einschalten|settings|parts of|coming soon|slow down|service|dienst|wartung|unauthori|unable|to come|<",
-    re.I,
-)
+#: One of these signs or words stands in every sentence with evidence; most lines have none and are done with.
+_SIGN = re.compile(r"[{}\[\]~$<]|__|@@|%[%A-Za-z_]|&lt;")
+_WORDS = (
+    "undefined", "null", "none", "nan", "nil", "n/a", "invalid", "ipsum", "dolor", "aliqu", "tempor", "magna", "nostrud", "eiusmod", "blindtext", "typotext", "mustertext", "platzhalter", "placeholder", "sample text", "dummy text", "filler text", "asdf", "qwer", "asd asd", "jkl",
+    "test test", "test, test", "tktk", "tk tk", "folgt", "to come", "coming soon", "hier ", "einsetzen", "einfügen", "einfuegen", "ergänzen", "ersetzen", "replace", " here", "tbd", "error", "fehler", "http", "status", "wrong", "schief", "broke", "problem", "trouble", "found", "gefunden", "exist",
+    "vorhanden", "available", "verfügbar", "verfuegbar", "erreichbar", "removed", "deleted", "gelöscht", "moved", "may be broken", "might be broken", "request", "server", "gateway", "forbidden", "gone", "denied", "verweigert", "gesperrt", "blocked", "try again", "come back", "retry", "reload", "refresh",
+    "erneut", "später", "spaeter", "permission", "berechtigung", "rechte", "access", "checking", "human", "robot", "roboter", "mensch", "captcha", "security check", "security verification", "traffic", "ddos", "one more step", "warning", "notice", "deprecated", "traceback", "exception", "uncaught",
+    "segmentation", "stack trace", "fetch", "guru", "database", "expired", "abgelaufen", "beendet", "timed out", "time-out", "timeout", "load", "retrieve", "display", "script", "skript", "supported browser", "your browser", "ihr browser", "it on in", "parts of", "slow down", "unavailable", "maintenance", "wartung", "überlastet", "overloaded",
+    "unauthori", "method not", "bad request", "connection",
+)
+
+
+def _hinted(text: str) -> bool:
+    if _SIGN.search(text):
+        return True
+    low = text.lower()
+    return any(w in low for w in _WORDS)
 
 
 def evidence(line: str) -> str | None:
     """The kind of evidence a line holds: 'gap', 'filler', 'error' or 'script'; None without any."""
-    if not line or not _HINT.search(line):
+    if not line or not _hinted(line):
         return None
     for s in _SENTENCE.split(line):
         s = _LEAD.sub("", s.strip()).strip()
-        if not s or not _HINT.search(s):
+        if not s or not _hinted(s):
             continue
         if any(not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45) for m in _GAP.finditer(s)) or _HOLLOW.search(s):
             return "gap"
