@@ -72,13 +72,13 @@ def seal(folder: str) -> dict[str, str]:
     """A manifest of the files of a result with their SHA-256, written beside them."""
     names = sorted(n for n in os.listdir(folder) if n.startswith("part-"))
     manifest = {n: file_sha256(f"{folder}/{n}") for n in names}
-    write_atomic(f"{folder}/manifest.json", json.dumps(manifest, indent=1))
+    write_atomic(f"{folder}/_manifest.json", json.dumps(manifest, indent=1))
     return manifest
 
 
 def verify(folder: str) -> bool:
     """Whether all files are as they were sealed, and none was added."""
-    with open(f"{folder}/manifest.json") as f:
+    with open(f"{folder}/_manifest.json") as f:
         held = json.load(f)
     names = sorted(n for n in os.listdir(folder) if n.startswith("part-"))
     return names == sorted(held) and all(file_sha256(f"{folder}/{n}") == held[n] for n in names)
