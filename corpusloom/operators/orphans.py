@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.time import month
-from corpusloom.operators.skew import lookup_join
-from corpusloom.session import durable
+from corpusloom.operators.skew import skew_join
+from corpusloom.session import MAX_BROADCAST_ROWS, durable
 
 #: Words of 64 bits that a filter has at most (16 MB of bits), bits it gets a key, and bits under which it is not used.
 MAX_WORDS, BITS_PER_KEY, LEAST_BITS = 1 << 21, 12, 4
@@ -43,7 +43,7 @@ def bloom_filter(parents: DataFrame, key: str, n_keys: int, max_words: int = MAX
     if n_keys * LEAST_BITS > words * 64:
         return None
     filled = _with_block(parents.select(key).filter(F.col(key).isNotNull()), key, words)
-    return filled.groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), words
+    return durable(filled.groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), "bloom"), words
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, ref: str, key: str, max_words: int = MAX_WORDS) -> DataFrame:
@@ -59,7 +59,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ref: str, key: str, m
     marked = named.withColumn("_key", F.col(ref)).select("*", F.xxhash64("_key").alias("_h"), F.xxhash64("_key", F.lit(1)).alias("_g"))
     bloom = bloom_filter(keys, "_key", parents.count(), max_words)
     if bloom is None:
-        definite, possible = marked.limit(0).drop("_key"), marked.drop("_key")
+        seen = marked.drop("_key").withColumn("_maybe", F.lit(True))
     else:
         bits, words = bloom
         seen = (
@@ -68,11 +68,14 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ref: str, key: str, m
             .withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)))
             .drop("_word", "_bits", "_mask", "_key")
         )
-        definite, possible = seen.filter(~F.col("_maybe")).drop("_maybe"), seen.filter("_maybe").drop("_maybe")
     held = keys.select(F.xxhash64("_key").alias("_h"), F.xxhash64("_key", F.lit(1)).alias("_g"))
-    absent = durable(possible.select("_h", "_g").distinct().join(held, ["_h", "_g"], "left_anti"), "absent")
-    verified = lookup_join(possible, absent, ["_h", "_g"], "left_semi", absent.count())
-    return definite.unionByName(verified).drop("_h", "_g")
+    absent = durable(seen.filter("_maybe").select("_h", "_g").distinct().join(held, ["_h", "_g"], "left_anti"), "absent")
+    n = absent.count()
+    if n <= MAX_BROADCAST_ROWS:
+        lost = seen.join(F.broadcast(absent.withColumn("_lost", F.lit(True))), ["_h", "_g"], "left").filter("NOT _maybe OR _lost").drop("_lost")
+    else:
+        lost = seen.filter("NOT _maybe").unionByName(skew_join(seen.filter("_maybe"), absent, ["_h", "_g"], "left_semi"))
+    return lost.drop("_h", "_g", "_maybe")
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame, source: str, ref: str, created: str) -> DataFrame:
