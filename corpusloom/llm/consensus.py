@@ -24,6 +24,8 @@ CLASSES = ["hate", "counter", "neutral"]
 ROUNDS, TOLERANCE, CUT = 24, 1e-4, 3
 #: Counts that each (annotator, consensus class, given class) starts with, and annotators a consensus needs.
 PRIOR, LEAST_ANNOTATORS = 1.0, 3
+#: How often one who shares no item with others is taken to be right, and what a vote counts where nothing else tells.
+UNKNOWN, NUDGE = 0.6, 1e-6
 
 
 def latest_votes(notes: DataFrame) -> DataFrame:
@@ -115,7 +117,8 @@ def consensus(votes: DataFrame, least: int = LEAST_ANNOTATORS, classes: list[str
     rel = durable(reliabilities(votes), "reliable")
     n = rel.count()
     right = F.least(F.lit(0.97), F.greatest(F.lit(0.03), F.lit(1 / k) + F.lit(1 - 1 / k) * F.col("reliability")))
-    weighted = lookup_join(votes, rel.select("annotator", F.log(right * (k - 1) / (1 - right)).alias("w")), ["annotator"], "inner", n)
+    right = F.when(F.col("agreement").isNull(), F.lit(UNKNOWN)).otherwise(right)
+    weighted = lookup_join(votes, rel.select("annotator", (F.log(right * (k - 1) / (1 - right)) + NUDGE).alias("w")), ["annotator"], "inner", n)
     first = _most_probable(weighted.select("item", F.create_map(*[x for c in classes for x in (F.lit(c), F.when(F.col("label") == c, F.col("w")).otherwise(F.lit(0.0)))]).alias("logs")), classes, {c: 0.0 for c in classes})
     first = durable(first.select("item", F.col("label").alias("held"), "probability"), "first")
     habits = votes.join(first, "item").groupBy("annotator", "held", "label").agg(F.sum("probability").alias("c"))
