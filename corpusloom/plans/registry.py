@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage."""
 
-from corpusloom.plans import analysis, problems, reader
+from corpusloom.plans import analysis, problems, reader, relations
 
-QUERIES = problems.QUERIES | reader.QUERIES | analysis.QUERIES
-SQL = problems.SQL | reader.SQL | analysis.SQL
+QUERIES = problems.QUERIES | reader.QUERIES | analysis.QUERIES | relations.QUERIES
+SQL = problems.SQL | reader.SQL | analysis.SQL | relations.SQL
