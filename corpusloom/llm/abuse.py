@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import abuse_seed
 
 #: n-gram lengths, buckets (a power of two), smoothing, ridge penalty and steps of the fit.
-ORDERS, BITS, ALPHA, RIDGE, STEPS = (2, 3, 4, 5, 6), 20, 1.0, 1e-5, 60
+ORDERS, BITS, ALPHA, RIDGE, STEPS = (2, 3, 4, 5, 6), 20, 1.0, 1e-5, 30
 #: Sentences turned into features at a time, which bounds the memory of the fit.
 CHUNK = 1000
 #: Labelled sentences drawn for training, rows of the corpus looked at for harmless examples (both bounds), seed.
@@ -117,9 +117,11 @@ def score_lines(lines: list[str], weights: np.ndarray, bias: float) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(np.bincount(owners, weights[buckets], len(lines)) + bias, -60, 60)))
 
 
-def fit(lines: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
+def fit(lines: list[str], labels: np.ndarray, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias: naive Bayes log-count ratios times the weights of a logistic regression on the scaled features.
 
+    ``start`` is a model to begin the search with.
+
     Every sentence counts all of its n-grams once, and both classes weigh the same. Equal input gives an equal model.
     """
     y, n, size = np.asarray(labels, dtype=float), len(lines), 1 << BITS
@@ -151,7 +153,10 @@ def fit(lines: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
         value = float((balance * (np.logaddexp(0, z) - y * z)).sum() + RIDGE / 2 * (w[:m] @ w[:m]))
         return value, np.append(grad * ratio + RIDGE * w[:m], g.sum())
 
-    w = _minimum(loss, np.zeros(m + 1))
+    first = np.zeros(m + 1)
+    if start is not None:
+        first[:m], first[m] = np.divide(start[0][used], ratio, out=np.zeros(m), where=np.abs(ratio) > 0.05), start[1]
+    w = _minimum(loss, first)
     weights = np.zeros(size, dtype=np.float32)
     weights[used] = w[:m] * ratio
     return weights, float(w[m])
@@ -183,7 +188,7 @@ def _minimum(loss, w: np.ndarray, memory: int = 8) -> np.ndarray:
         w, grad, gain, value = w + s, new_grad, value - new, new
         if s @ t > 1e-14:
             past = [*past[1 - memory :], (s, t, 1 / (s @ t))]
-        if gain < 1e-7 * max(value, 1e-3):
+        if gain < 1e-3 * max(value, 1e-4):
             break
     return w
 
@@ -212,7 +217,7 @@ def train(sample: Iterable[str], n: int = LABELLED, seed: int = SEED) -> tuple[n
     calm = [s for s, p in zip(own, score_lines(own, *seed_model(n, seed))) if p < CALM]
     rng = random.Random(seed)
     pairs = [(f" {a.strip().rstrip('.')} {b.strip()} " if rng.random() < 0.5 else f" {b.strip().rstrip('.')} {a.strip()} ", y) for a, y in zip(lines, labels) if calm and rng.random() < BESIDE for b in [rng.choice(calm)]]
-    return fit([*lines, *calm, *[x for x, _ in pairs]], np.array([*labels, *[0] * len(calm), *[y for _, y in pairs]]))
+    return fit([*lines, *calm, *[x for x, _ in pairs]], np.array([*labels, *[0] * len(calm), *[y for _, y in pairs]]), seed_model(n, seed))
 
 
 def scores(texts: pd.Series, weights: np.ndarray, bias: float) -> pd.Series:
