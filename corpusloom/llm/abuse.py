@@ -41,6 +41,7 @@ _MASKED = re.compile(r"[^\W\d_]+(?:[*#%]+[^\W\d_]*)+|[*#%]+[^\W\d_]{2,}")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _QUOTED = re.compile(r"(?<!\w)'[^'\n]{2,90}'(?!\w)|\"[^\"\n]{2,90}\"|[„“”»«‚‘][^„“”»«‚‘’\n]{2,90}[“”«»’‘]")
+_DIGIT, _QUOTE = re.compile(r"[\d@$€]"), re.compile("['\"„“”»«‚‘’]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _BREAK = re.compile(r"(?<=[.!?…])['\")\]]*\s+|[\r\n ]+")
 _SPACE = re.compile(r"\s+")
@@ -72,16 +73,22 @@ def undisguise(text: str) -> str:
     longer text become the word 'quotation'."""
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).translate(_TRANSLATED)
-    text = _LINK.sub(" ", text).casefold()
-    text = _HANDLE.sub(" ", text)
+    if "://" in text or "www." in text.lower():
+        text = _LINK.sub(" ", text)
+    text = text.casefold()
+    if "@" in text:
+        text = _HANDLE.sub(" ", text)
     text = _SPACED.sub(lambda m: m[0][::2], text)
-    text = _SIGNED.sub(lambda m: m[0] if _AMOUNT.fullmatch(m[0]) else "".join(abuse_seed.SIGNS.get(c, c) for c in m[0]), text)
-    text = _MARK.sub("i", text)
+    if _DIGIT.search(text):
+        text = _SIGNED.sub(lambda m: m[0] if _AMOUNT.fullmatch(m[0]) else "".join(abuse_seed.SIGNS.get(c, c) for c in m[0]), text)
+    if "!" in text:
+        text = _MARK.sub("i", text)
     if "*" in text or "#" in text or "%" in text:
         text = _MASKED.sub(lambda m: _unmasked(m[0]), text)
     text = _STRETCHED.sub(r"\1", text)
-    text = _NUMBER.sub("0", text)
-    if _QUOTED.search(text) and len(_WORD.findall(_QUOTED.sub(" ", text))) >= 4:
+    if _DIGIT.search(text):
+        text = _NUMBER.sub("0", text)
+    if _QUOTE.search(text) and _QUOTED.search(text) and len(_WORD.findall(_QUOTED.sub(" ", text))) >= 4:
         text = _QUOTED.sub(" quotation ", text)
     return text
 
