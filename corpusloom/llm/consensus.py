@@ -65,15 +65,14 @@ def reliabilities(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     no more than by chance gets about 0, one who contradicts them less than 0. The sign is that of the majority.
     Annotators who share no item with others have agreement NULL and reliability 0. No votes give no rows.
     """
-    shares = votes.groupBy("label").agg(F.count("*").alias("c"))
-    share = {r["label"]: r["c"] for r in shares.limit(1000).collect()}
-    total = sum(share.values()) or 1
-    prior = F.create_map(*[F.lit(x) for k, c in sorted(share.items()) for x in (k, c / total)]) if share else F.create_map().cast("map<string,double>")
-    mine = durable(votes.withColumn("share", F.coalesce(F.try_element_at(prior, F.col("label")), F.lit(0.0))), "votes")
+    votes = durable(votes.select("item", "annotator", "label"), "cast")
+    total = votes.count() or 1
+    shares = durable(votes.groupBy("label").agg((F.count("*") / F.lit(total)).alias("share")), "shares")
+    mine = lookup_join(votes, shares, ["label"], "inner", shares.count())
     stats = durable(mine.groupBy("annotator").agg(F.avg("share").alias("chance"), F.count("*").alias("n_votes")), "annotators")
     n = stats.count()
     known = durable(lookup_join(mine.drop("share"), stats.select("annotator", "chance"), ["annotator"], "inner", n), "known")
-    chance = sum((c / total) ** 2 for c in share.values())
+    chance = shares.agg(F.sum(F.col("share") * F.col("share"))).first()[0] or 0.0
     weights = stats.select("annotator", F.lit(1.0).alias("w"))
     before = None
     for i in range(rounds):
