@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranks import rank_within
+from corpusloom.operators.skew import lookup_join
+
 #: Which states of a channel may follow which (I13), and when a forward source is a candidate.
 TRANSITIONS = {"seed_candidate": {"seed_approved", "rejected"}, "snowball_candidate": {"snowball_approved", "rejected"}, "seed_approved": {"dead", "paused"}, "snowball_approved": {"dead", "paused"}, "paused": {"seed_approved", "snowball_approved", "dead"}}
 LEAST_CHANNELS, LEAST_FORWARDS = 3, 20
@@ -17,30 +19,35 @@ def day(c):
 
 
 def day_coverage(m: DataFrame) -> DataFrame:
-    """Of each channel and day the messages, first and last id, and the ids missing between them.
+    """Of each channel and day the messages, first and last id, and how many ids are missing between them.
 
-    Gaps come from the distance to the id before, so that a gap of any length costs one number and no list.
+    ``m`` has one row for each message, so the gaps follow from three partial aggregates.
     """
     rows = m.filter("sent_at IS NOT NULL").select("channel", day("sent_at").alias("day"), "msg_id")
-    step = F.col("msg_id") - F.lag("msg_id").over(W.partitionBy("channel", "day").orderBy("msg_id"))
-    gaps = rows.withColumn("gap", F.coalesce(step - 1, F.lit(0)))
-    return gaps.groupBy("channel", "day").agg(F.count("*").alias("n_messages"), F.min("msg_id").alias("first_id"), F.max("msg_id").alias("last_id"), F.sum("gap").alias("n_missing"))
+    sums = rows.groupBy("channel", "day").agg(F.count("*").alias("n_messages"), F.min("msg_id").alias("first_id"), F.max("msg_id").alias("last_id"))
+    return sums.withColumn("n_missing", F.col("last_id") - F.col("first_id") + 1 - F.col("n_messages"))
+
+
+def blocks(ids: DataFrame, group: list[str], number: str) -> tuple[DataFrame, DataFrame]:
+    """First and last numbers of the unbroken blocks of each group: those without a predecessor, and without a successor."""
+    starts = ids.join(ids.withColumn(number, F.col(number) + 1), [*group, number], "left_anti")
+    ends = ids.join(ids.withColumn(number, F.col(number) - 1), [*group, number], "left_anti")
+    return starts, ends
 
 
 def gap_ranges(m: DataFrame) -> DataFrame:
-    """The ranges of ids that are missing within a channel and day."""
-    rows = m.filter("sent_at IS NOT NULL").select("channel", day("sent_at").alias("day"), "msg_id")
-    before = F.lag("msg_id").over(W.partitionBy("channel", "day").orderBy("msg_id"))
-    return rows.withColumn("before", before).filter(F.col("msg_id") - F.col("before") > 1).select("channel", "day", (F.col("before") + 1).alias("first_missing"), (F.col("msg_id") - 1).alias("last_missing"))
+    """The ranges of ids that are missing within a channel and day: from the end of a block to the next start."""
+    ids = m.filter("sent_at IS NOT NULL").select("channel", day("sent_at").alias("day"), "msg_id").distinct()
+    starts, ends = blocks(ids, ["channel", "day"], "msg_id")
+    nth = lambda x, name: rank_within(x, ["channel", "day"], ["msg_id"], "_nth").withColumnRenamed("msg_id", name)
+    met = nth(ends, "_end").join(nth(starts, "_start").withColumn("_nth", F.col("_nth") - 1), ["channel", "day", "_nth"])
+    return met.select("channel", "day", (F.col("_end") + 1).alias("first_missing"), (F.col("_start") - 1).alias("last_missing"))
 
 
 def contiguous_top(m: DataFrame) -> DataFrame:
-    """The last id of each channel's unbroken block from its least id."""
-    ids = m.select("channel", "msg_id").distinct()
-    w = W.partitionBy("channel").orderBy("msg_id")
-    block = ids.withColumn("block", F.col("msg_id") - F.row_number().over(w))
-    first = block.groupBy("channel", "block").agg(F.min("msg_id").alias("low"), F.max("msg_id").alias("top"))
-    return first.groupBy("channel").agg(F.min_by("top", "low").alias("contiguous_top"))
+    """The last id of each channel's unbroken block from its least id: the least id without a successor."""
+    _, ends = blocks(m.select("channel", "msg_id").distinct(), ["channel"], "msg_id")
+    return ends.groupBy("channel").agg(F.min("msg_id").alias("contiguous_top"))
 
 
 def forward_evidence(m: DataFrame, channels: DataFrame) -> DataFrame:
@@ -71,9 +78,10 @@ def new_messages(page: DataFrame, stored: DataFrame) -> DataFrame:
 
 def trailing_streak(runs: DataFrame, order: str, skipped: str, key: str) -> DataFrame:
     """Of each key the newest runs in a row that were skipped, up to the first that was not."""
-    w = W.partitionBy(key).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    tail = runs.withColumn("clear", F.sum(F.when(F.col(skipped), 0).otherwise(1)).over(w))
-    return tail.groupBy(key).agg(F.count_if(F.col("clear") == 0).alias("streak")).withColumn("alarm", F.col("streak") >= 3)
+    clear = runs.groupBy(key).agg(F.max(F.when(~F.col(skipped), F.col(order))).alias("_clear"))
+    tail = lookup_join(runs, clear, [key], "inner", clear.count())
+    newer = F.col("_clear").isNull() | (F.col(order) > F.col("_clear"))
+    return tail.groupBy(key).agg(F.count_if(newer).alias("streak")).withColumn("alarm", F.col("streak") >= 3)
 
 
 def freshness(m: DataFrame, now: str, hours: int = 36) -> DataFrame:

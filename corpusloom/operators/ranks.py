@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.skew import lookup_join
 from corpusloom.session import durable
 
 _LOCAL = (1 << 33) - 1
@@ -47,3 +48,15 @@ def with_running(df: DataFrame, order: list[Column | str], sums: dict[str, str])
     for n, c in sums.items():
         out = out.withColumn(n, F.sum(c).over(own) + F.col(f"_b_{n}"))
     return out.drop("_part", "_at", *[f"_b_{n}" for n in sums])
+
+
+def rank_within(df: DataFrame, group: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
+    """``df`` with the 1-based ``name`` of each row in ``order`` among the rows of its ``group``.
+
+    Takes the place of a window over the group: a group of any size spreads over partitions. Rows with a NULL in
+    ``group`` are dropped.
+    """
+    ranked = with_rank(df.dropna(subset=group), [*group, *order], "_r")
+    first = ranked.groupBy(*group).agg(F.min("_r").alias("_first"))
+    placed = lookup_join(ranked, first, group, "inner", first.count())
+    return placed.withColumn(name, F.col("_r") - F.col("_first") + 1).drop("_r", "_first")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranks import with_rank
+from corpusloom.session import broadcast_if_small
+
 _ALL = (1 << 64) - 1
 
 
@@ -25,14 +31,37 @@ class SplitMix64:
         return z ^ (z >> 31)
 
 
+def draw_positions(n: int, count: int, seed: int) -> list[int]:
+    """Which of ``n`` sorted candidates the partial Fisher-Yates shuffle puts first; holds ``count`` numbers, not n."""
+    g, moved, out = SplitMix64(seed), {}, []
+    for i in range(min(max(count, 0), n)):
+        j = i + g.next() % (n - i)
+        out.append(moved.get(j, j))
+        moved[j] = moved.get(i, i)
+    return out
+
+
 def draw(keys: list[str], excluded: set[str], count: int, seed: int) -> list[str]:
     """Of the sorted keys without the excluded ones the first ``count`` after a partial Fisher-Yates shuffle."""
     pool = sorted(set(keys) - excluded)
-    g, n = SplitMix64(seed), min(max(count, 0), len(pool))
-    for i in range(n):
-        j = i + g.next() % (len(pool) - i)
-        pool[i], pool[j] = pool[j], pool[i]
-    return pool[:n]
+    return [pool[i] for i in draw_positions(len(pool), count, seed)]
+
+
+def at_positions(pool: DataFrame, key: str, positions: Callable[[int], list[int]]) -> DataFrame:
+    """(``key``, place): the keys at chosen positions of the sorted pool, in the order of the choice.
+
+    The choice needs only the number of keys; the keys are ranked where they are and never come to the driver.
+    """
+    ranked = with_rank(pool.select(key).filter(F.col(key).isNotNull()).distinct(), [key], "_nr")
+    chosen = positions(ranked.count())
+    rows = pool.sparkSession.createDataFrame([(p + 1, i) for i, p in enumerate(chosen)], "_nr long, place int")
+    return ranked.join(broadcast_if_small(rows, len(chosen)), "_nr").drop("_nr")
+
+
+def drawn_exactly(pool: DataFrame, key: str, excluded: DataFrame, count: int, seed: int) -> DataFrame:
+    """draw() over a distributed pool, with the same result."""
+    rest = pool.select(key).join(excluded.select(key), key, "left_anti")
+    return at_positions(rest, key, lambda n: draw_positions(n, count, seed))
 
 
 def drawn(pool: DataFrame, key: str, count: int, seed: int) -> DataFrame:
@@ -68,8 +97,6 @@ def allocate(sizes: dict[str, int], total: int) -> dict[str, int]:
 
 def stratified(rows: DataFrame, stratum: str, key: str, total: int, seed: int) -> DataFrame:
     """``allocate`` over the counts of ``stratum``, then the rows of least seeded hash of each stratum."""
-    from pyspark.sql import Window as W
-
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(stratum).cast("string")).count().collect() if r[0] is not None}
     wanted = allocate(counts, total)
     limits = rows.sparkSession.createDataFrame(list(wanted.items()) or [("", 0)], "_s string, _most long")
@@ -81,25 +108,18 @@ def stratified(rows: DataFrame, stratum: str, key: str, total: int, seed: int) -
 
 def _share(counts: dict[str, int], wanted: dict[str, int]) -> Column:
     """A share of hashes under which a stratum's sample lies with all but no chance of a miss; bounds what is ranked."""
-    import math
-
     pairs = [x for k in counts for x in (F.lit(k), F.lit(min(1.0, (wanted[k] + 60 + 12 * math.sqrt(wanted[k])) / max(1, counts[k]))))]
     return F.create_map(*pairs)[F.col("_s")] if pairs else F.lit(1.0)
 
 
-def control_sample(pool: DataFrame, key: str, labelled: DataFrame, ratio: float, n_positive: int, seed: int) -> list[str]:
-    """round(ratio n) keys of the pool without any labelled one, drawn by Python's generator over the sorted keys.
-
-    The result has to equal a draw over the whole sorted list, so the keys go to the driver; for large pools use drawn().
-    """
-    keys = [r[0] for r in pool.select(key).join(labelled.select(key), key, "left_anti").distinct().orderBy(key).collect()]
-    return random.Random(seed).sample(keys, min(len(keys), round(ratio * n_positive)))
+def control_sample(pool: DataFrame, key: str, labelled: DataFrame, ratio: float, n_positive: int, seed: int) -> DataFrame:
+    """round(ratio n) keys of the pool without any labelled one, as Python's seeded generator samples the sorted keys."""
+    rest = pool.select(key).join(labelled.select(key), key, "left_anti")
+    return at_positions(rest, key, lambda n: random.Random(seed).sample(range(n), min(n, round(ratio * n_positive))))
 
 
 def folds(rows: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
     """Fold 0 ... k-1 of each row, balanced by class: hash order within a class, dealt in turn."""
-    from corpusloom.operators.ranks import with_rank
-
     ranked = with_rank(rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), [label, "_h", key], "_r")
     return ranked.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_h", "_r")
 

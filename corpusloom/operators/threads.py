@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.hierarchy import paths
+from corpusloom.operators.ranks import rank_within
 
 #: The layout's width of a leaf, height of a level, and upper margin.
 LEAF_WIDTH, LEVEL, MARGIN = 28, 48, 33
 
 
 def children(p: DataFrame) -> DataFrame:
-    """The children of each post, by time, as one line of URIs."""
-    kids = p.filter("zparenturi IS NOT NULL").groupBy("zparenturi").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("created", F.lit(float("-inf"))).alias("at"), "zuri"))).alias("kids"))
-    return kids.select(F.col("zparenturi").alias("zuri"), F.size("kids").cast("long").alias("n_children"), F.array_join(F.transform("kids", lambda k: k["zuri"]), ",").alias("children"))
+    """(zuri, child, place): the children of each post and their place by time; siblings of one time go by URI."""
+    kids = p.filter("zparenturi IS NOT NULL").select(F.col("zparenturi").alias("zuri"), F.col("zuri").alias("child"), F.coalesce("created", F.lit(float("-inf"))).alias("_at"))
+    return rank_within(kids, ["zuri"], ["_at", "child"], "place").drop("_at")
 
 
 def thread(p: DataFrame, root: str) -> DataFrame:
@@ -37,27 +38,22 @@ def flat_order(edges: DataFrame, key: str, parent: str, created: str) -> DataFra
     A post's sort path joins those of its ancestors, so that one sort of each tree gives the order. ``edges`` has one row
     for each key.
     """
-    from pyspark.sql import Window as W
-
     own = F.format_string("%020.3f", F.coalesce(F.col(created), F.lit(0.0)) + F.lit(1e12))
     tagged = edges.select(F.col(key).alias("k"), F.col(parent).alias("p"), own.alias("t"))
     found = paths(tagged, "k", "p").filter("depth >= 0")
     steps = found.select("node", "root", "depth", F.posexplode("path").alias("at", "k")).join(tagged.select("k", "t"), "k")
     sort = steps.groupBy("node", "root", "depth").agg(F.array_sort(F.collect_list(F.struct("at", "t", "k"))).alias("s"))
     line = sort.select("node", "root", "depth", F.array_join(F.transform("s", lambda x: F.concat(x["t"], F.lit("|"), x["k"])), "\x01").alias("line"))
-    return line.select("node", "root", "depth", F.row_number().over(W.partitionBy("root").orderBy("line")).cast("long").alias("position"))
+    return rank_within(line, ["root"], ["line"], "position").drop("line")
 
 
 def layout(flat: DataFrame, edges: DataFrame, key: str, parent: str) -> DataFrame:
     """T5: x and y of each post: leaves LEAF_WIDTH apart in depth-first order, parents centred, LEVEL a depth."""
-    from pyspark.sql import Window as W
-
-    inner = edges.select(F.col(parent).alias("node")).filter("node IS NOT NULL").distinct().withColumn("inner", F.lit(True))
-    marked = flat.join(inner, "node", "left")
-    w = W.partitionBy("root").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
-    leaf = marked.withColumn("leaf", F.sum(F.when(F.col("inner").isNull(), 1).otherwise(0)).over(w))
+    inner = edges.select(F.col(parent).alias("node")).filter("node IS NOT NULL").distinct()
+    ends = flat.join(inner, "node", "left_anti")
+    leaf = rank_within(ends.select("node", "root", "position"), ["root"], ["position"], "leaf")
     spans = paths(edges.select(F.col(key).alias("k"), F.col(parent).alias("p")), "k", "p").filter("depth >= 0").select(F.col("node").alias("leaf_node"), F.explode("path").alias("node"))
-    at = leaf.filter("inner IS NULL").select(F.col("node").alias("leaf_node"), ((F.col("leaf") - F.lit(0.5)) * LEAF_WIDTH).alias("x"))
+    at = leaf.select(F.col("node").alias("leaf_node"), ((F.col("leaf") - F.lit(0.5)) * LEAF_WIDTH).alias("x"))
     ends = spans.join(at, "leaf_node").groupBy("node").agg(((F.min("x") + F.max("x")) / 2).alias("x"))
     return flat.join(ends, "node").select("node", "root", "x", (F.col("depth") * LEVEL + MARGIN).cast("double").alias("y"))
 

@@ -380,6 +380,18 @@ def _(v):
     return sampling.drawn(model.replies(v.posts), "zuri", 200, 7)
 
 
+@query("P1_exact_draw")
+def _(v):
+    r = model.replies(v.posts)
+    return sampling.drawn_exactly(r, "zuri", r.filter("zlikecount = 0").select("zuri"), 200, 7)
+
+
+@query("P4_control_sample")
+def _(v):
+    labelled = v.notes.filter("post IS NOT NULL").select(F.col("post").alias("z_pk")).join(v.posts.select("z_pk", "zuri"), "z_pk").select("zuri").distinct()
+    return sampling.control_sample(model.replies(v.posts), "zuri", labelled, 2.0, 150, 7)
+
+
 @query("P2_stratified_draw")
 def _(v):
     rows = model.replies(v.posts).filter(ranged(F.col("created"))).select("zuri", iso_week(to_timestamp(F.col("created"))).alias("week"))
@@ -392,7 +404,7 @@ def _(v):
 
 
 # threads
-@query("T1_children", f"{W} SELECT zparenturi AS zuri, count(*) AS n_children, string_agg(zuri, ',' ORDER BY coalesce(created, '-infinity'::DOUBLE), zuri) AS children FROM p WHERE zparenturi IS NOT NULL GROUP BY 1")
+@query("T1_children", f"{W} SELECT zparenturi AS zuri, zuri AS child, row_number() OVER (PARTITION BY zparenturi ORDER BY coalesce(created, '-infinity'::DOUBLE), zuri) AS place FROM p WHERE zparenturi IS NOT NULL")
 def _(v):
     return threads.children(v.posts)
 

@@ -124,6 +124,10 @@ def test_draws(spark):
     assert sampling.draw(keys, {"k1"}, 10, 5) == sampling.draw(keys[::-1], {"k1"}, 10, 5)
     assert len(set(sampling.draw(keys, {"k1"}, 99, 5))) == 49
     df = spark.createDataFrame([(k,) for k in keys], "k string")
+    exact = sampling.drawn_exactly(df.union(df), "k", df.filter("k = 'k1'"), 10, 5).orderBy("place").collect()
+    assert [r["k"] for r in exact] == sampling.draw(keys, {"k1"}, 10, 5)
+    control = sampling.control_sample(df, "k", df.filter("k < 'k2'"), 1.5, 5, 3).orderBy("place").collect()
+    assert [r["k"] for r in control] == random.Random(3).sample(sorted(k for k in keys if k >= "k2"), 8)
     assert sampling.drawn(df, "k", 7, 1).collect() == sampling.drawn(df.repartition(5), "k", 7, 1).collect()
     rows = df.withColumn("s", F.when(F.col("k") < "k2", "a").otherwise("b"))
     counts = {r["s"]: r["count"] for r in sampling.stratified(rows, "s", "k", 12, 3).groupBy("s").count().collect()}
