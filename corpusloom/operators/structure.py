@@ -83,5 +83,5 @@ def moderation_by_decile(latest: DataFrame, active: DataFrame, created: DataFram
 def ranked_authors(per: DataFrame) -> DataFrame:
     """Rank by volume, and by mean among those with ELIGIBLE scored replies; ties go by the author."""
     by_mean = F.when(F.col("n_scored") >= ELIGIBLE, F.col("mean_score"))
-    top = per.orderBy(F.desc("reply_count"), "zauthordid").limit(1000).withColumn("volume_rank", F.row_number().over(W.orderBy(F.desc("reply_count"), "zauthordid")))
-    return top.withColumn("mean_rank", F.when(by_mean.isNotNull(), F.row_number().over(W.orderBy(by_mean.desc_nulls_last(), "zauthordid")))).select("zauthordid", "reply_count", "n_scored", "volume_rank", "mean_rank")
+    top = per.orderBy(F.desc("reply_count"), "zauthordid").limit(1000).withColumn("volume_rank", F.row_number().over(W.orderBy(F.desc("reply_count"), "zauthordid")).cast("long"))
+    return top.withColumn("mean_rank", F.when(by_mean.isNotNull(), F.row_number().over(W.orderBy(by_mean.desc_nulls_last(), "zauthordid")).cast("long"))).select("zauthordid", "reply_count", "n_scored", "volume_rank", "mean_rank")
