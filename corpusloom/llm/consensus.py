@@ -20,8 +20,8 @@ from corpusloom.session import durable
 
 #: The classes that count as votes.
 CLASSES = ["hate", "counter", "neutral"]
-#: Rounds of the power iteration, the change of the unit vector at which it ends, and the rounds between lineage cuts.
-ROUNDS, TOLERANCE, CUT = 24, 1e-4, 3
+#: Rounds of the power iteration at most, and the change of the unit vector at which it ends.
+ROUNDS, TOLERANCE = 24, 1e-4
 #: Counts that each (annotator, consensus class, given class) starts with, and annotators a consensus needs.
 PRIOR, LEAST_ANNOTATORS = 1.0, 3
 #: How often one who shares no item with others is taken to be right, and what a vote counts where nothing else tells.

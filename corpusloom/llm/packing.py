@@ -108,7 +108,8 @@ def _round(items: DataFrame, number: int, tasks: int, capacity: int, full: float
         yield pdf[["doc_id", "piece", "first_token", "n_tokens", "container", "slot", "kept"]]
 
     plain = items.select("doc_id", "piece", "first_token", "n_tokens")
-    return plain.repartition(tasks, F.xxhash64("doc_id", "piece")).mapInPandas(run, cols)
+    # in turn and not by key, since one doc_id may hold many rows; Spark sorts before, so that a task that runs again deals alike
+    return plain.repartition(tasks).mapInPandas(run, cols)
 
 
 def pack_documents(sized: DataFrame, capacity: int = CAPACITY, task_items: int = TASK_ITEMS, full: float = FULL, rounds: int = ROUNDS) -> DataFrame:
