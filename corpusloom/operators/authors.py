@@ -86,17 +86,20 @@ def outlet_counts(p: DataFrame, page: DataFrame) -> DataFrame:
     return page.select("zauthordid").join(counted, "zauthordid", "left").select("zauthordid", F.coalesce("n_outlets", F.lit(0)).alias("n_outlets"))
 
 
-def author_detail(p: DataFrame, probed: DataFrame, did: str) -> DataFrame:
-    """A5: one author over replies with a root; no row for authors of orphans only; the handle is the probed one alone."""
-    mine = with_root(replies(p).filter(F.col("zauthordid") == did), p)
+def author_detail(p: DataFrame, tops: DataFrame, probed: DataFrame, did: str) -> DataFrame:
+    """A5: one author over replies with a root; no row for authors of orphans only; the handle is the probed one alone.
+
+    ``p`` holds at least the author's posts, ``tops`` at least all roots.
+    """
+    mine = with_root(replies(p).filter(F.col("zauthordid") == did), tops)
     seen = mine.groupBy("zauthordid").agg(F.count("*").alias("reply_count"), F.min("created").alias("first_seen"), F.max("created").alias("last_seen"), F.countDistinct("outlet").alias("n_outlets"))
     known = probed.filter(F.col("zdid") == did).select(F.col("zdid").alias("zauthordid"), F.col("zcurrenthandle").alias("handle"), F.col("zcurrentstatus").alias("status"))
     return seen.join(known, "zauthordid", "left")
 
 
-def outlet_breakdown(p: DataFrame, accounts: DataFrame, did: str) -> DataFrame:
-    """An author's replies by outlet."""
-    mine = with_root(replies(p).filter(F.col("zauthordid") == did), p)
+def outlet_breakdown(p: DataFrame, tops: DataFrame, accounts: DataFrame, did: str) -> DataFrame:
+    """An author's replies by outlet; ``p`` holds at least the author's posts, ``tops`` at least all roots."""
+    mine = with_root(replies(p).filter(F.col("zauthordid") == did), tops)
     named = accounts.select(F.col("z_pk").alias("outlet"), F.col("zhandle").alias("outlet_handle"))
     return mine.groupBy("outlet").agg(F.count("*").alias("n_replies")).join(F.broadcast(named), "outlet")
 

@@ -29,6 +29,17 @@ def posts(zpost: DataFrame) -> DataFrame:
     return unique_rows(zpost.withColumn("created", number(F.col("zcreatedat"))), ["zuri"], "z_pk")
 
 
+def posts_where(zpost: DataFrame, condition: Column) -> DataFrame:
+    """posts(zpost).filter(condition), for conditions that few rows meet.
+
+    A filter cannot pass the choice of the first row of a URI. So the URIs with any row that meets ``condition`` are
+    found first, by a filter the scan takes over, and only their rows are compared; the whole table is not shuffled.
+    """
+    some = zpost.withColumn("created", number(F.col("zcreatedat")))
+    near = some.filter(condition).select("zuri").distinct()
+    return unique_rows(some.join(near, "zuri", "left_semi"), ["zuri"], "z_pk").filter(condition)
+
+
 def replies(p: DataFrame) -> DataFrame:
     """the posts that are no roots."""
     return p.filter("zisrootpost = 0")

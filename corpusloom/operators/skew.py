@@ -24,8 +24,10 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     """``left`` joined with ``right``, whose keys are unique; the rows of hot keys never meet in one task.
 
     The right rows of hot keys (a bounded number, see hot_keys) are broadcast, all other rows join by shuffle. ``how``
-    is inner, left, left_semi or left_anti. NULL keys match nothing.
+    is inner, left, left_semi or left_anti. NULL keys match nothing. Without ``rows``, the size of ``left``, it is written
+    once, as it is read several times.
     """
+    left = durable(left, "left") if rows is None else left
     n = left.count() if rows is None else rows
     if n < HOT_ROWS:
         return left.join(right, keys, how)

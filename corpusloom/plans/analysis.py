@@ -415,7 +415,8 @@ _BIG = "(SELECT zrooturi FROM p WHERE zrooturi IS NOT NULL GROUP BY 1 ORDER BY c
 @query("T6_thread", f"{W} SELECT zuri, zparenturi, created, zdepth FROM p WHERE zrooturi = {_BIG} ORDER BY created NULLS FIRST, zuri")
 def _(v):
     top = v.posts.filter("zrooturi IS NOT NULL").groupBy("zrooturi").count().orderBy(F.desc("count"), "zrooturi").first()
-    return threads.thread(v.posts, top[0] if top else "")
+    root = top[0] if top else ""
+    return threads.thread(model.posts_where(v.raw("zpost"), F.col("zrooturi") == root), root)
 
 
 @query("T4_heights", f"{W} SELECT zrooturi, coalesce(max(zdepth), 0) + 1 AS height, count(*) AS n_posts FROM p WHERE zrooturi IS NOT NULL GROUP BY 1")

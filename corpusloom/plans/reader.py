@@ -75,17 +75,17 @@ def _(v):
 
 @query("A5_author_detail", f"{W} SELECT zauthordid, count(*) AS reply_count, min(created) AS first_seen, max(created) AS last_seen, count(DISTINCT outlet) AS n_outlets, max(zcurrenthandle) AS handle, max(zcurrentstatus) AS status FROM r JOIN t ON r.zrooturi = t.turi LEFT JOIN zreplyauthor z ON z.zdid = zauthordid WHERE zauthordid = {HEAVIEST} GROUP BY 1")
 def _(v):
-    return au.author_detail(v.posts, v.raw("zreplyauthor"), v.heaviest)
+    return au.author_detail(v.of_author, v.root_posts, v.raw("zreplyauthor"), v.heaviest)
 
 
 @query("A6_author_reply_count", f"{W} SELECT count(*) AS n_replies FROM r WHERE zauthordid = {HEAVIEST}")
 def _(v):
-    return model.replies(v.posts).filter(F.col("zauthordid") == v.heaviest).agg(F.count("*").alias("n_replies"))
+    return model.replies(v.of_author).agg(F.count("*").alias("n_replies"))
 
 
 @query("A7_outlet_breakdown", f"{W} SELECT outlet, count(*) AS n_replies, max(zhandle) AS outlet_handle FROM r JOIN t ON r.zrooturi = t.turi JOIN ztrackedaccount k ON k.z_pk = outlet WHERE zauthordid = {HEAVIEST} GROUP BY 1")
 def _(v):
-    return au.outlet_breakdown(v.posts, v.raw("ztrackedaccount"), v.heaviest)
+    return au.outlet_breakdown(v.of_author, v.root_posts, v.raw("ztrackedaccount"), v.heaviest)
 
 
 _PER = "c AS (SELECT zauthordid, count(*) AS c, max(created) AS last_seen FROM r GROUP BY 1)"
@@ -146,7 +146,7 @@ _WEEKS = f"SELECT {week('created')} AS week, count(*) AS n_posts FROM {{rows}} A
 
 @query("A13_replies_per_week_of_author", f"{W} {_WEEKS.format(rows=f'r WHERE zauthordid = {HEAVIEST}')}")
 def _(v):
-    return au.per_week(model.replies(v.posts).filter(F.col("zauthordid") == v.heaviest))
+    return au.per_week(model.replies(v.of_author))
 
 
 @query("A13_replies_per_week_of_accounts", f"{W} {_WEEKS.format(rows=f'r JOIN t ON r.zrooturi = t.turi WHERE outlet IN ({OUTLET}, 33, 20)')}")
@@ -156,7 +156,7 @@ def _(v):
 
 @query("A13_roots_per_week", f"{W} {_WEEKS.format(rows='p WHERE zisrootpost = 1')}")
 def _(v):
-    return au.per_week(model.roots(v.posts))
+    return au.per_week(v.root_posts)
 
 
 @query("F3_empty_list", f"{W} SELECT zuri FROM r WHERE false")
@@ -166,7 +166,7 @@ def _(v):
 
 @query("U7_group_roots", f"{W} SELECT zuri, zaccount FROM p WHERE zisrootpost = 1 AND zaccount IN (38, 33, 20)")
 def _(v):
-    return model.roots(v.posts).filter(F.col("zaccount").isin(38, 33, 20)).select("zuri", "zaccount")
+    return model.posts_where(v.raw("zpost"), (F.col("zisrootpost") == 1) & F.col("zaccount").isin(38, 33, 20)).select("zuri", "zaccount")
 
 
 @query("W7_newest_handle", f"{W} SELECT zauthordid, arg_max(zauthorhandle, (coalesce(created, '-infinity'::DOUBLE), zuri)) AS reply_handle FROM r WHERE zauthorhandle IS NOT NULL GROUP BY 1")
@@ -176,12 +176,12 @@ def _(v):
 
 @query("F13_handles", f"{W} SELECT DISTINCT zauthorhandle AS handle FROM r WHERE zauthordid = {HEAVIEST} AND zauthorhandle IS NOT NULL ORDER BY 1")
 def _(v):
-    return au.handles(v.posts, v.heaviest)
+    return au.handles(v.of_author, v.heaviest)
 
 
 @query("O4_newest_replies", f"{W} SELECT zuri, created, ztext FROM r WHERE zauthordid = {HEAVIEST} ORDER BY created DESC NULLS LAST, zuri LIMIT 100")
 def _(v):
-    return au.replies_of_author(v.posts, v.heaviest)
+    return au.replies_of_author(v.of_author, v.heaviest)
 
 
 @query("I8_author_backfill", f"{W}, g AS (SELECT zauthordid, min(created) AS f, max(created) AS l FROM r WHERE zauthordid IS NOT NULL GROUP BY 1) SELECT coalesce(zdid, zauthordid) AS zauthordid, least(zfirstseenat, f) AS first_seen, greatest(zlastseenat, l) AS last_seen, zfirstseenat IS NULL AS created_row FROM zreplyauthor FULL JOIN g ON zdid = zauthordid")
@@ -245,7 +245,7 @@ def _(v):
 
 @query("F7_date_range", f"{W} SELECT count(*) AS n_replies FROM r WHERE created BETWEEN 720000000 AND 730000000")
 def _(v):
-    return model.replies(v.posts).filter(F.col("created").between(720_000_000.0, 730_000_000.0)).agg(F.count("*").alias("n_replies"))
+    return model.replies(model.posts_where(v.raw("zpost"), F.col("zcreatedat").between(720_000_000.0, 730_000_000.0))).agg(F.count("*").alias("n_replies"))
 
 
 @query("F8_ingest_filter", f"{W} SELECT p.zuri FROM p JOIN ztrackedaccount k ON p.zaccount = k.z_pk WHERE p.created >= k.zstartat AND p.zauthordid = k.zdid AND NOT isnan(k.zstartat)")
@@ -286,12 +286,12 @@ def _(v):
 
 @query("I4_rescrape_due", f"""{W} SELECT zuri, coalesce(coalesce(lower(trim(zreplytreestatus)) <> 'complete', true) OR c IS NULL OR c <= created + 1209600, false) AS due FROM (SELECT *, CASE WHEN NOT isnan(zreplytreelastchecked) THEN zreplytreelastchecked END AS c FROM p WHERE zisrootpost = 1)""")
 def _(v):
-    return roots.rescrape_due(v.posts)
+    return roots.rescrape_due(v.root_posts)
 
 
 @query("A24_account_totals", f"""{W} SELECT zaccount, count(*) AS n_posts, {', '.join(f'CAST(coalesce(sum(z{x}count), 0) AS BIGINT) AS total_{x}s' for x in ('like', 'reply', 'repost', 'quote'))} FROM p WHERE zisrootpost = 1 AND zaccount IS NOT NULL GROUP BY 1""")
 def _(v):
-    return roots.account_totals(v.posts)
+    return roots.account_totals(v.root_posts)
 
 
 _ACT = f"ra AS (SELECT {week('created')} AS week, count(*) AS n FROM p WHERE zisrootpost = 1 AND {in_range('created')} GROUP BY 1), rb AS (SELECT {week('created')} AS week, count(*) AS n FROM r WHERE {in_range('created')} GROUP BY 1), wk AS (SELECT coalesce(ra.week, rb.week) AS week, coalesce(ra.n, 0) AS n_roots, coalesce(rb.n, 0) AS n_replies FROM ra FULL JOIN rb ON ra.week = rb.week)"
@@ -327,7 +327,7 @@ def _(v):
 g AS (SELECT unnest(range(1, 399)) AS i), x AS (SELECT DISTINCT greatest(1, least(n - 2, CAST(round(g.i * ((n - 2) / 399.0)) AS BIGINT))) AS i FROM g, (SELECT max(n) AS n FROM k))
 SELECT zuri, created FROM k WHERE n <= 400 OR i = 0 OR i = n - 1 OR i IN (SELECT i FROM x)""")
 def _(v):
-    mine = model.replies(v.posts).filter((F.col("zauthordid") == v.heaviest) & F.col("created").isNotNull()).select("zuri", "created")
+    mine = model.replies(v.of_author).filter("created IS NOT NULL").select("zuri", "created")
     return weekly.decimated(mine, ["created", "zuri"], 400)
 
 

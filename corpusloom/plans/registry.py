@@ -1,6 +1,7 @@
 """All queries outside the llm subpackage."""
 
-from corpusloom.plans import analysis, problems, reader, relations
+from corpusloom.plans import analysis, problems, reader, relations, sources
 
-QUERIES = problems.QUERIES | reader.QUERIES | analysis.QUERIES | relations.QUERIES
-SQL = problems.SQL | reader.SQL | analysis.SQL | relations.SQL
+_MODULES = (problems, reader, analysis, relations, sources)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

@@ -39,7 +39,7 @@ def _(v):
 
 @query("F2_of_author", f"{W} SELECT zuri FROM p WHERE zauthordid = {HEAVIEST}")
 def _(v):
-    return v.posts.filter(F.col("zauthordid") == v.heaviest).select("zuri")
+    return v.of_author.select("zuri")
 
 
 @query("F4_lookup", f"{W} SELECT zuri, ztext FROM p WHERE zuri IN (SELECT thread_uri FROM documents) AND length(trim(ztext)) > 0")

@@ -29,6 +29,14 @@ class Views:
     def posts(self) -> DataFrame:
         return model.posts(self.raw("zpost"))
 
+    @cached_property
+    def of_author(self) -> DataFrame:
+        return model.posts_where(self.raw("zpost"), F.col("zauthordid") == self.heaviest)
+
+    @cached_property
+    def root_posts(self) -> DataFrame:
+        return model.posts_where(self.raw("zpost"), F.col("zisrootpost") == 1)
+
     @cached_property
     def notes(self) -> DataFrame:
         return model.notes(self.raw("zannotation"))

@@ -65,7 +65,7 @@ def test_orphans_count_only_without_a_join(spark, nobody):
     p = posts(spark, [root(1), reply(10, "a"), reply(11, "a"), reply(12, "b", to=99)])
     assert au.authors_in_range(p, 1, None).first()[0] == 2
     assert au.authors_in_range(p, 1, None, 1).first()[0] == 1
-    assert au.author_detail(p, nobody, "b").count() == 0
+    assert au.author_detail(p, p, nobody, "b").count() == 0
     assert {r["zauthordid"]: r["n_outlets"] for r in au.outlet_counts(p, p.select("zauthordid").filter("zauthordid = 'b'").distinct()).collect()} == {"b": 0}
 
 
@@ -155,3 +155,31 @@ def test_links_and_tokens(spark):
 def test_prompt_is_filled_in_order(spark):
     df = spark.createDataFrame([("a {{language}}", "de")], "t string, l string")
     assert df.select(text.filled_prompt("{{text}}/{{language}}", F.col("t"), F.col("l"))).first()[0] == "a de/de"
+
+
+def test_lookups_reach_the_scan_and_choose_the_first_row(spark, tmp_path):
+    """An author's posts: the scan filters by author, nothing but their URIs is shuffled, and later deliveries do not count."""
+    from corpusloom.operators import integrity, model
+    from tests_support import POST
+
+    rows = [root(1), reply(10, "a"), reply(11, "b"), (12, *reply(10, "b", text="again")[1:]), (9, *reply(11, "a", text="before")[1:]), reply(13, "c")]
+    path = str(tmp_path / "zpost.parquet")
+    spark.createDataFrame(rows, POST).write.parquet(path)
+    raw = spark.read.parquet(path)
+    for who in "abcx":
+        got = model.posts_where(raw, F.col("zauthordid") == who)
+        assert sorted(map(str, got.collect())) == sorted(map(str, model.posts(raw).filter(F.col("zauthordid") == who).select(*got.columns).collect()))
+    plan = integrity.plan_text(model.posts_where(raw, F.col("zauthordid") == "a").select("zuri"))
+    assert "EqualTo(zauthordid,a)" in plan and "ztext" not in plan and "Python" not in plan
+
+
+def test_plans_prune_and_stay_in_the_jvm(spark, tmp_path):
+    from corpusloom.operators import integrity, model
+    from tests_support import POST
+
+    path = str(tmp_path / "zpost.parquet")
+    spark.createDataFrame([root(1), reply(10, "a")], POST).write.parquet(path)
+    p = model.posts(spark.read.parquet(path))
+    for plan in (au.author_count(p), au.outlet_authors(p), roots.root_posts(p), weekly.weekly_activity(p)):
+        text_ = integrity.plan_text(plan)
+        assert "ztext" not in text_ and "Python" not in text_ and "CartesianProduct" not in text_ and "NestedLoop" not in text_
