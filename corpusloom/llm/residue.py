@@ -73,40 +73,42 @@ _MENTION = re.compile(
 )
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”“)]*\s+(?=\S)")
 _LEAD = re.compile(r"^(?:[\s>*•·–—#|-]+|@[\w.-]+:\s*|https?://\S+\s*|(?:<(?!%|<|noscript)/?[a-z]+\d?\s*/?>\s*))+", re.I)
-#: One of these signs or words stands in every sentence with evidence; most lines have none and are done with.
-_SIGN = re.compile(r"[{}\[\]~$<]|__|@@|%[%A-Za-z_]|&lt;")
-_WORDS = (
-    "undefined", "null", "none", "nan", "nil", "n/a", "invalid", "ipsum", "dolor", "aliqu", "tempor", "magna", "nostrud", "eiusmod", "blindtext", "typotext", "mustertext", "platzhalter", "placeholder", "sample text", "dummy text", "filler text", "asdf", "qwer", "asd asd", "jkl",
-    "test test", "test, test", "tktk", "tk tk", "folgt", "to come", "coming soon", "hier ", "einsetzen", "einfügen", "einfuegen", "ergänzen", "ersetzen", "replace", " here", "tbd", "error", "fehler", "http", "status", "wrong", "schief", "broke", "problem", "trouble", "found", "gefunden", "exist",
-    "vorhanden", "available", "verfügbar", "verfuegbar", "erreichbar", "removed", "deleted", "gelöscht", "moved", "may be broken", "might be broken", "request", "server", "gateway", "forbidden", "gone", "denied", "verweigert", "gesperrt", "blocked", "try again", "come back", "retry", "reload", "refresh",
-    "erneut", "später", "spaeter", "permission", "berechtigung", "rechte", "access", "checking", "human", "robot", "roboter", "mensch", "captcha", "security check", "security verification", "traffic", "ddos", "one more step", "warning", "notice", "deprecated", "traceback", "exception", "uncaught",
-    "segmentation", "stack trace", "fetch", "guru", "database", "expired", "abgelaufen", "beendet", "timed out", "time-out", "timeout", "load", "retrieve", "display", "script", "skript", "supported browser", "your browser", "ihr browser", "it on in", "parts of", "slow down", "unavailable", "maintenance", "wartung", "überlastet", "overloaded",
-    "unauthori", "method not", "bad request", "connection",
-)
+#: Cheap tests before a search in the midst of a sentence. Each follows from the pattern it stands before: a gap begins with
+#: one of the signs, a hollow value is one of the words of _EMPTY, and a filler that need not begin the sentence holds one of
+#: the words or six of the customary ones. What has to begin the sentence is matched there, without a test before.
+_SIGN = re.compile(r"[{\[~$<%&]|__|@@")
+_HOLLOW_WORDS = ("undefined", "null", "none", "nan", "nil", "object object", "invalid date", "n/a")
+_FILLER_WORDS = ("dies ist ein ", "sample text", "dummy text", "placeholder text", "filler text", "asd", "qwer", "jkl", "tktk", "tk tk", " here")
+_LATIN_WORDS, _TOKEN = frozenset(_LATIN.split()), re.compile(r"\w+")
 
 
-def _hinted(text: str) -> bool:
-    if _SIGN.search(text):
-        return True
-    low = text.lower()
-    return any(w in low for w in _WORDS)
+def _folded(s: str) -> str:
+    """``s`` in the letter case of the words above; patterns that ignore case take three more letters for i and s."""
+    return s.lower() if s.isascii() else s.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
+
+
+def _may_be_filler(low: str) -> bool:
+    return any(w in low for w in _FILLER_WORDS) or sum(map(_LATIN_WORDS.__contains__, _TOKEN.findall(low))) >= 6
 
 
 def evidence(line: str) -> str | None:
     """The kind of evidence a line holds: 'gap', 'filler', 'error' or 'script'; None without any."""
-    if not line or not _hinted(line):
+    if not line:
         return None
     for s in _SENTENCE.split(line):
         s = _LEAD.sub("", s.strip()).strip()
-        if not s or not _hinted(s):
+        if not s:
             continue
-        if any(not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45) for m in _GAP.finditer(s)) or _HOLLOW.search(s):
+        low = _folded(s)
+        if _SIGN.search(s) and any(not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45) for m in _GAP.finditer(s)):
+            return "gap"
+        if any(w in low for w in _HOLLOW_WORDS) and _HOLLOW.search(s):
             return "gap"
-        if (m := _FILLER.search(s)) and not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45):
+        if (m := _FILLER.match(s) or (_may_be_filler(low) and _FILLER.search(s))) and not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45):
             return "filler"
-        if _SCRIPT.search(s):
+        if _SCRIPT.match(s) or ("<noscript" in low and _SCRIPT.search(s)):
             return "script"
-        if _ERROR.search(s):
+        if _ERROR.match(s):
             return "error"
     return None
 

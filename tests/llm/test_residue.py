@@ -1,5 +1,9 @@
 """Evidence line by line, and boilerplate by host."""
 
+import random
+import re
+from re import _parser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,3 +39,60 @@ def test_boilerplate_is_subtracted_unless_it_is_all_there_is(spark):
 def test_long_texts_are_read_to_the_end(spark):
     df = spark.createDataFrame([(1, "The council met again in the hall. " * 20_000 + "By __AUTHOR__, updated.", "a")], "doc_id long, text string, source string")
     assert residue.residue(df).count() == 1
+
+
+@pytest.mark.parametrize(
+    "line, kind",
+    [
+        ("Please enable JS and disable any ad blocker", "script"), ("JS is required", "script"), ("<NOSCRIPT>", "script"), ("Some parts of the page will not work", "script"),
+        ("Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.", "filler"), ("This is example text.", "filler"), ("This is dummy content.", "filler"), ("asd, asd, asd", "filler"), ("He wrote: ut et in ad ex ea.", "filler"),
+        ("Bitte laden Sie die Seite neu.", "error"), ("Bitte versuchen Sie, sich anzumelden.", "error"), ("This site is down", "error"), ("The service is unable to start", "error"), ("Der Beitrag wurde geloescht", "error"), ("You do not have the rights", "error"), ("SQL syntax", "error"), ("Unable to fetch more", "error"),
+        ("%Öffnungszeiten% am Montag", "gap"), ("By &LT;author&GT;, today", "gap"), ("You have NİL messages", "gap"),
+    ],
+)
+def test_no_evidence_is_dropped_unseen(line, kind):
+    assert residue.evidence(line) == kind
+
+
+def drawn(tree, rng, groups):
+    """A text that the parsed pattern may match, with assertions left out."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name in ("NOT_LITERAL", "ANY"):
+            out += "x"
+        elif name == "IN":
+            allowed = re.compile("|".join({"LITERAL": lambda a: re.escape(chr(a)), "RANGE": lambda a: f"[{chr(a[0])}-{chr(a[1])}]", "CATEGORY": lambda a: {"CATEGORY_DIGIT": r"\d", "CATEGORY_WORD": r"\w", "CATEGORY_SPACE": r"\s", "CATEGORY_NOT_WORD": r"\W", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_NOT_SPACE": r"\S"}[str(a)]}[str(o)](a) for o, a in arg if str(o) != "NEGATE"))
+            negated = str(arg[0][0]) == "NEGATE"
+            out += rng.choice([c for c in "abcözÄ059 .,:;!?_-–—#~{}[]()<>%$@&^/'|*=" if bool(allowed.fullmatch(c)) != negated])
+        elif name == "BRANCH":
+            out += drawn(rng.choice(arg[1]), rng, groups)
+        elif name == "SUBPATTERN":
+            text = drawn(arg[3], rng, groups)
+            groups[arg[0]] = text
+            out += text
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(drawn(arg[2], rng, groups) for _ in range(arg[0] + rng.randint(0, min(2, arg[1] - arg[0]))))
+        elif name == "GROUPREF":
+            out += groups[arg]
+        else:
+            assert name in ("AT", "ASSERT", "ASSERT_NOT"), name
+    return out
+
+
+@pytest.mark.parametrize("name", ["_GAP", "_HOLLOW", "_FILLER", "_SCRIPT", "_ERROR"])
+def test_tests_before_the_patterns_lose_nothing(name):
+    pattern, rng, n = getattr(residue, name), random.Random(3), 0
+    tree = _parser.parse(pattern.pattern, pattern.flags)
+    for _ in range(20_000):
+        s = drawn(tree, rng, {})
+        s = rng.choice([str, str.upper, str.title, lambda x: x.replace("i", "ı").replace("s", "ſ"), lambda x: x.replace("i", "İ")])(rng.choice(["", "", "They wrote "]) + s).strip()
+        if not pattern.search(s):
+            continue
+        n += 1
+        low = residue._folded(s)
+        passes = {"_GAP": lambda: residue._SIGN.search(s), "_HOLLOW": lambda: any(w in low for w in residue._HOLLOW_WORDS), "_FILLER": lambda: pattern.match(s) or residue._may_be_filler(low), "_SCRIPT": lambda: pattern.match(s) or "<noscript" in low, "_ERROR": lambda: pattern.match(s)}
+        assert passes[name](), s
+    assert n > 5_000
