@@ -1,8 +1,9 @@
 """Template residue, filler, error pages and script notices that stand where content should be.
 
-Normalised lines are counted by host; those that recur on many documents of a host are its boilerplate and are
-subtracted. A document is excluded if what remains holds evidence: an unfilled or emptily filled gap, filler text, a
-message of a server or program, or a demand to switch scripts on. Sentences that write about such things are no evidence.
+Normalised lines are counted by host; those that recur on many documents of a host are its boilerplate. A document is
+excluded if it holds evidence: an unfilled or emptily filled gap, filler text or a message of a server or program in any
+line, or a demand to switch scripts on in what remains without boilerplate. Sentences that write about such things are no
+evidence.
 """
 
 from __future__ import annotations
@@ -144,8 +145,9 @@ def boilerplate(docs: DataFrame, text: str, host: str, least: int = RECURRENT_DO
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = RECURRENT_DOCS, share: float = RECURRENT_SHARE) -> DataFrame:
     """(``key``, kinds): the documents with template residue, filler, error or script notices, and the kinds of them.
 
-    Evidence in boilerplate of the host is subtracted, unless a document has fewer than RESIDUAL_WORDS words besides
-    boilerplate: then the boilerplate is all its content, as on an error page that was stored many times. NULL and empty
+    Gaps, filler and errors count however often their line recurs, so these do not depend on the size of a host. A script
+    notice in boilerplate of the host is subtracted, unless a document has fewer than RESIDUAL_WORDS words besides
+    boilerplate: then the boilerplate is all its content, as on a blocking page that was stored many times. NULL and empty
     texts are no cases; NULL hosts are one host. Repeated documents are each reported. Texts are read whole.
     """
     host_key = F.coalesce(F.col(host).cast("string"), F.lit(""))
@@ -167,7 +169,7 @@ def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     judged = known.groupBy("_row").agg(
         F.first("_key").alias(key),
         F.array_sort(F.collect_set("kind")).alias("kinds"),
-        F.coalesce(F.bool_or(F.col("kind").isNotNull() & F.col("common").isNull()), F.lit(False)).alias("own"),
+        F.coalesce(F.bool_or(F.col("kind").isNotNull() & (F.col("common").isNull() | (F.col("kind") != "script"))), F.lit(False)).alias("own"),
         F.sum(F.when(F.col("common").isNull(), F.col("n_words")).otherwise(0)).alias("rest"),
     )
     return judged.filter(F.col("own") | (F.col("rest") < RESIDUAL_WORDS)).select(key, "kinds")

@@ -36,6 +36,14 @@ def test_boilerplate_is_subtracted_unless_it_is_all_there_is(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [20, 200])
+def test_gaps_filler_and_errors_count_in_recurring_lines_of_hosts_of_any_size(spark, n):
+    broken = ["By {{ author }}, updated today.", "Text folgt.", "Error 502: Bad Gateway."]
+    docs = [(i, f"The council met with {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} and spoke of many things.\n{broken[i % 3] if i < n else ''}", "a") for i in range(5 * n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in residue.residue(df).collect()) == list(range(n))
+
+
 def test_long_texts_are_read_to_the_end(spark):
     df = spark.createDataFrame([(1, "The council met again in the hall. " * 20_000 + "By __AUTHOR__, updated.", "a")], "doc_id long, text string, source string")
     assert residue.residue(df).count() == 1
