@@ -25,8 +25,18 @@ from corpusloom.session import broadcast_if_small, durable
 #: Consecutive words that make a leak, and words of a shingle.
 WORDS, SHINGLE = 12, 5
 
-_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>|<[!?][^<>]{0,300}>", re.S)
-_LINK = re.compile(r"(!?)\[([^\[\]]*)\]\([^()\s]*\)")
+#: A tag is any of up to 300 characters, or one of any length that is made of attributes: values may be as long as they like,
+#: but prose after a stray "<b" is no tag.
+_TAG = re.compile(
+    r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>|</?[a-zA-Z][^<>=\"']{0,300}+(?:=\s*+(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=]*+)[^<>=\"']{0,300}+)++>|<[!?][^<>]{0,300}>|<!(?:DOCTYPE|ENTITY|ELEMENT|ATTLIST)\b[^<>]*+>|<\?[a-zA-Z][^<>?]*+\?>",
+    re.S | re.I,
+)
+#: A link's target: in angle brackets (which are gone as a tag), without spaces, or with spaces if it begins like an address;
+#: parentheses in it are balanced, and a title may follow.
+_LINK = re.compile(
+    r"(!?)\[([^\[\]]*)\]\(\s*+(?:(?:<[^<>\n]*>)?|(?:[^()\s]|\((?:[^()\s]|\([^()\s]*\))*\))+|(?:[a-z][a-z+.-]*:|www\.|[./#?])(?:[^()\n\"']|\([^()\n]*\))*?)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)",
+    re.I,
+)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
 _INSIDE = re.compile("[\\u00ad\\u200b-\\u200d\\u2060\\ufeff]")
 _RUN = re.compile(r"[^\W_]+")

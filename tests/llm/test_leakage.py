@@ -52,6 +52,24 @@ def test_spellings_do_not_matter(spark, spelled):
     assert [tuple(r) for r in leakage.leaked_items(docs, items).collect()] == [(1, 5)]
 
 
+@pytest.mark.parametrize(
+    "piece",
+    [
+        f'<a href="https://x.example/?{"q=1&r=zz&" * 80}">lagen</a>', f"<p style='{'color: red; ' * 60}' hidden>lagen</p>", f"<img src=data:image/png;base64,{'Qk0a' * 200}== alt=x>lagen", "<div " + " ".join(f'data-a{i}="some words {i}"' for i in range(40)) + ">lagen</div>",
+        '[lagen](https://x.example/a "A title of it")', "[lagen](https://x.example/a 'A title')", "[lagen](/wiki/Apfel_(Obst))", "[lagen](https://x.example/a (title))", "[lagen](https://x.example/my file.html)", "[lagen](<my file.html>)", "[lagen]( /a )",
+    ],
+)
+def test_long_tags_and_links_of_every_form_do_not_matter(piece):
+    assert leakage.words(TEXT.replace("lagen", piece)) == leakage.words(TEXT)
+
+
+def test_prose_in_brackets_and_after_a_stray_sign_is_kept():
+    prose = "he said so and then he said it again to all of them " * 10
+    for text in (f"where a <b {prose} and c> d", f"[sic] ({prose})", f"[sic](he said {prose})", f"x <b = {prose}"):
+        assert "".join(leakage.words(text)).count("hesaidso") >= 10
+    leakage.words("<a =b" * 20_000 + "[x](" * 20_000 + "[y](a(" * 5_000 + "[z](./ " * 5_000)
+
+
 def test_eleven_words_are_no_leak_and_empty_sides(spark):
     items = spark.createDataFrame([(5, TEXT)], "item_id long, text string")
     docs = spark.createDataFrame([(1, " ".join(TEXT.split()[:11]) + " z " + " ".join(TEXT.split()[5:16]))], "doc_id long, text string")
