@@ -50,6 +50,20 @@ def _(v):
     return sqlite.read_sqlite(v.spark, path, "ZTRACKEDACCOUNT")
 
 
+@query("S1_sqlite_posts", "SELECT z_pk, zuri, zparenturi, zisrootpost FROM zpost")
+def _(v):
+    path = _local(_folder(v)) + ".db"
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE ZPOST (z_pk INTEGER PRIMARY KEY, zuri VARCHAR, zparenturi VARCHAR, zisrootpost INTEGER)")
+
+    def write(rows):
+        with sqlite3.connect(path, timeout=3600) as own:  # tasks take turns; a repeated task replaces its rows
+            own.executemany("INSERT OR REPLACE INTO ZPOST VALUES (?, ?, ?, ?)", map(tuple, rows))
+
+    v.raw("zpost").select("z_pk", "zuri", "zparenturi", "zisrootpost").foreachPartition(write)
+    return sqlite.read_sqlite(v.spark, path, "ZPOST")
+
+
 @query("S2_bound_query", "SELECT z_pk FROM zpost WHERE ztext = 'That is popular.'")
 def _(v):
     name = f"posts_{uuid.uuid4().hex}"
@@ -145,6 +159,11 @@ def _(v):
     return classify.annotated(model.roots(v.posts).select("z_pk", "ztext"), "z_pk", "ztext", "stub:fehlt").select("z_pk", "class")
 
 
+@query("X1_all_annotations", f"{W} SELECT z_pk, CASE WHEN length(regexp_replace(coalesce(ztext, ''), '^\\s+|\\s+$', '', 'g')) >= 10 AND contains(lower(ztext), 'fehlt') THEN 'hate' ELSE 'neutral' END AS class FROM p")
+def _(v):
+    return classify.annotated(v.posts.select("z_pk", "ztext"), "z_pk", "ztext", "stub:fehlt").select("z_pk", "class")
+
+
 @query("X6_tfidf_accuracy")
 def _(v):
     rows = v.raw("documents").filter("text IS NOT NULL AND kind IN ('note', 'digest')").select("text", F.when(F.col("kind") == "note", 1).otherwise(0).alias("y"))

@@ -283,3 +283,15 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         weekly.append_batches(weekly.stream(spark, str(tmp_path / "in"), rows), str(tmp_path / "out"), str(tmp_path / "cp"), ["k", "t"]).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_sources_and_annotations_over_all_posts(spark):
+    import __spark_entry__ as e
+
+    sf = "/root/testdata/sf0.001"
+    posts = spark.read.parquet(f"{sf}/zpost.parquet")
+    back = e.queries()["S1_sqlite_posts"](spark, sf)
+    assert back.rdd.getNumPartitions() > 1
+    assert sorted(map(str, back.collect())) == sorted(map(str, posts.select("z_pk", "zuri", "zparenturi", "zisrootpost").collect()))
+    got = e.queries()["X1_all_annotations"](spark, sf)
+    assert got.count() == posts.select("zuri").distinct().count()
