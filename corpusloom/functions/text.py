@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The terms of the civility lexicon are a parameter; these are the defaults of the tests.
-LEXICON = ["idiot", "moron", "stupid", "liar", "scum", "vermin", "dumm", "abschaum", "lüge", "schande"]
+#: The terms of the lexicon detector.
+LEXICON = [
+    "untermensch", "subhuman", "vermin", "cockroaches", "parasites", "invasion", "invaders", "infestation", "ungeziefer",
+    "gas the", "exterminate", "genocide", "kill all", "kill yourself", "kill every", "should be shot", "should be killed",
+    "todesstrafe für", "erschießen", "vergasen", "auslöschen",
+    "ausländer raus", "zurück in die wüste", "geht zurück", "rapefugee", "rapefugees", "go back to your country", "not your country",
+    "konzentrationslager", "nazi kolonie", "antisemiten haben pech",
+    "islamisierung", "umvolkung", "great replacement", "white genocide", "braunen horden", "die braunen",
+]
 
 
 def escape_like(s: str) -> str:
@@ -42,8 +51,8 @@ def tokens(c: Column) -> Column:
 
 
 def term_count(c: Column, terms: list[str]) -> Column:
-    """How often any of ``terms`` occurs, without letter case and overlaps; 0 for NULL."""
-    pattern = "(?iu)(" + "|".join(t.replace(".", "\\.") for t in sorted(terms, key=lambda t: (-len(t), t))) + ")"
+    """How often any of ``terms`` occurs, without letter case and overlaps; 0 for NULL. At one place the earlier term counts."""
+    pattern = "(?iu)(" + "|".join(map(re.escape, terms)) + ")"
     return F.coalesce(F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))), F.lit(0))
 
 

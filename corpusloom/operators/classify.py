@@ -17,17 +17,20 @@ ANSWER = "class string, severity string, confidence double, reasoning string"
 
 
 def first_object(text: str | None) -> str | None:
-    """The first balanced JSON object in a text; braces in strings and escapes do not count, stray ends are skipped."""
+    """The first balanced JSON object in a text.
+
+    Strings are followed inside and outside of objects, so braces in quotes never count, nor do escaped quotes in them. A
+    stray end begins anew.
+    """
     depth = start = 0
     quoted = escaped = False
     for i, ch in enumerate(text or ""):
-        if depth and quoted:
+        if quoted:
             escaped, quoted = (False, True) if escaped else (ch == "\\", ch != '"')
-        elif ch == '"' and depth:
+        elif ch == '"':
             quoted = True
         elif ch == "{":
-            if not depth:
-                start = i
+            start = start if depth else i
             depth += 1
         elif ch == "}" and depth:
             depth -= 1

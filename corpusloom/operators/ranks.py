@@ -60,3 +60,21 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column | str], name
     first = ranked.groupBy(*group).agg(F.min("_r").alias("_first"))
     placed = lookup_join(ranked, first, group, "inner", first.count())
     return placed.withColumn(name, F.col("_r") - F.col("_first") + 1).drop("_r", "_first")
+
+
+def percentiles_within(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(``group``, a column for each of ``shares``): exact percentiles, interpolated between the two neighbouring ranks.
+
+    The position of share p is p (n - 1) among the n values, as M4 and the averaging median (M5) have it. Values are
+    ranked over ranges of the whole table and two of a group are kept for each share, so that a few groups with most of
+    the rows need no large task. NULL and NaN values do not count; a group without others has no row. NULL group keys form
+    a group of their own.
+    """
+    held = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(F.struct(*group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    ranked = with_rank(held, ["_g", "_v"], "_r")
+    ends = ranked.groupBy("_g").agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))
+    placed = lookup_join(ranked, ends, ["_g"], "inner", ends.count())
+    off = {name: F.abs(F.col("_r") - F.col("_first") - F.lit(p) * (F.col("_n") - 1)) for name, p in shares.items()}
+    near = placed.select("_g", "_v", *[d.alias(f"_d_{name}") for name, d in off.items()]).filter(" OR ".join(f"`_d_{name}` < 1" for name in shares))
+    found = near.groupBy("_g").agg(*[F.sum(F.when(F.col(f"_d_{name}") < 1, F.col("_v") * (1 - F.col(f"_d_{name}")))).alias(name) for name in shares])
+    return found.select(*[F.col("_g")[g].alias(g) for g in group], *shares)

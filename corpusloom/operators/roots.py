@@ -9,6 +9,9 @@ from corpusloom.functions.text import contains_text
 from corpusloom.operators.authors import bounded
 from corpusloom.operators.model import replies, roots
 
+#: Terms of a curated list at most.
+MAX_TERMS = 10_000
+
 #: F19, the presets of the reply-count filter.
 PRESETS: dict[str, tuple[int | None, int | None]] = {"any": (None, None), "1+": (1, None), "10+": (10, None), "50-99": (50, 99), "50+": (50, None), "100+": (100, None), "200+": (200, None)}
 
@@ -72,10 +75,12 @@ def labelling_context(p: DataFrame, uris: DataFrame) -> DataFrame:
 def search_terms(p: DataFrame, terms: DataFrame, text: str = "ztext") -> DataFrame:
     """for each curated substring the first post (by URI) that holds it, each post once, for its first term.
 
-    terms: (term, rank), a curated list whose size is bounded by hand. The terms travel as one array, so that each post is
-    read once and no pairs are formed.
+    terms: (term, rank), a curated list of at most MAX_TERMS; more are refused with an error. The terms travel as one
+    array, so that each post is read once and no pairs are formed.
     """
-    known = [r["term"] for r in terms.orderBy("rank").limit(10_000).collect()]
+    known = [r["term"] for r in terms.filter("term <> ''").orderBy("rank").limit(MAX_TERMS + 1).collect()]
+    if len(known) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
     if not known:
         return p.limit(0).select("zuri", F.lit("").alias("term"))
     at = F.filter(F.array(*[F.lit(t) for t in known]), lambda t: F.contains(F.lower(F.col(text)), F.lower(t)))

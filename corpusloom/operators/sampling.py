@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ranks import with_rank
+from corpusloom.operators.ranks import rank_within, with_rank
 from corpusloom.session import broadcast_if_small
 
 _ALL = (1 << 64) - 1
+#: Strata that an allocation is made for at most; more are refused.
+MAX_STRATA = 100_000
 
 
 class SplitMix64:
@@ -73,7 +73,8 @@ def allocate(sizes: dict[str, int], total: int) -> dict[str, int]:
     """How many to draw from each stratum.
 
     Everything if ``total`` covers all; one each to the largest strata if there are more strata than ``total``; else one
-    each, the rest in proportion by largest remainder, never more than a stratum has. Ties go by name.
+    each, the rest in proportion by largest remainder, never more than a stratum has; what caps leave over goes round in
+    the same order. Equal remainders go to the larger stratum, then by name.
     """
     filled = {k: v for k, v in sizes.items() if v > 0}
     if total >= sum(filled.values()):
@@ -86,30 +87,29 @@ def allocate(sizes: dict[str, int], total: int) -> dict[str, int]:
     exact = {k: rest * v / whole for k, v in filled.items()}
     for k in filled:
         out[k] = min(filled[k], out[k] + int(exact[k]))
-    for k in sorted(filled, key=lambda k: (-(exact[k] - int(exact[k])), k)) * 2:
-        if sum(out.values()) < total and out[k] < filled[k]:
-            out[k] += 1
-    while sum(out.values()) < total:
-        k = max((k for k in filled if out[k] < filled[k]), key=lambda k: (filled[k] - out[k], k))
-        out[k] += 1
+    turn = sorted(filled, key=lambda k: (-(exact[k] - int(exact[k])), -filled[k], k))
+    left = total - sum(out.values())
+    while left:
+        for k in turn:
+            if left and out[k] < filled[k]:
+                out[k], left = out[k] + 1, left - 1
     return {k: out.get(k, 0) for k in sizes}
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, total: int, seed: int) -> DataFrame:
-    """``allocate`` over the counts of ``stratum``, then the rows of least seeded hash of each stratum."""
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(stratum).cast("string")).count().collect() if r[0] is not None}
-    wanted = allocate(counts, total)
-    limits = rows.sparkSession.createDataFrame(list(wanted.items()) or [("", 0)], "_s string, _most long")
-    hashed = rows.withColumn("_s", F.col(stratum).cast("string")).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    near = hashed.join(F.broadcast(limits), "_s").filter((F.col("_h") / F.lit(2.0**63) + 1) / 2 <= _share(counts, wanted))
-    ranked = near.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy("_h", key)))
-    return ranked.filter(F.col("_r") <= F.col("_most")).drop("_s", "_h", "_r", "_most")
+    """``allocate`` over the counts of ``stratum``, then the rows of least seeded hash of each stratum.
 
-
-def _share(counts: dict[str, int], wanted: dict[str, int]) -> Column:
-    """A share of hashes under which a stratum's sample lies with all but no chance of a miss; bounds what is ranked."""
-    pairs = [x for k in counts for x in (F.lit(k), F.lit(min(1.0, (wanted[k] + 60 + 12 * math.sqrt(wanted[k])) / max(1, counts[k]))))]
-    return F.create_map(*pairs)[F.col("_s")] if pairs else F.lit(1.0)
+    Strata are counted on the driver, so there may be MAX_STRATA of them (an error beyond). Rows are ranked within their
+    stratum over ranges of the whole table, so that no stratum is ever short and none gathers in one task. NULL strata and
+    rows with a NULL key are left out.
+    """
+    named = rows.withColumn("_s", F.col(stratum).cast("string")).filter(F.col("_s").isNotNull() & F.col(key).isNotNull())
+    counts = dict(map(tuple, named.groupBy("_s").count().limit(MAX_STRATA + 1).collect()))
+    if len(counts) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    limits = rows.sparkSession.createDataFrame(list(allocate(counts, total).items()), "_s string, _most long")
+    ranked = rank_within(named.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_s"], ["_h", key], "_place")
+    return ranked.join(F.broadcast(limits), "_s").filter(F.col("_place") <= F.col("_most")).select(*rows.columns)
 
 
 def control_sample(pool: DataFrame, key: str, labelled: DataFrame, ratio: float, n_positive: int, seed: int) -> DataFrame:
@@ -134,14 +134,16 @@ def undrawn(pool: DataFrame, batches: DataFrame, key: str = "zuri") -> DataFrame
     return pool.join(batches.select(F.explode("drawn").alias(key)).distinct(), key, "left_anti")
 
 
-def unlabelled(drawn_uris: Column, done: Column) -> Column:
-    """U4: what is still to label, in drawing order."""
-    return F.array_except(drawn_uris, done)
+def unlabelled(drawn: DataFrame, done: DataFrame, batch: str, key: str) -> DataFrame:
+    """U4: (``batch``, ``key``): what each batch has drawn and nobody has labelled; a place column would give the order."""
+    return drawn.select(batch, key).distinct().join(done.select(batch, key), [batch, key], "left_anti")
 
 
-def complete(drawn_uris: Column, done: Column) -> Column:
-    """Whether all drawn URIs are labelled."""
-    return F.size(F.array_except(drawn_uris, done)) == 0
+def complete(drawn: DataFrame, done: DataFrame, batch: str, key: str) -> DataFrame:
+    """(``batch``, complete): whether all a batch has drawn is labelled; labels on others do not count."""
+    marks = drawn.select(batch, key, F.lit(False).alias("_l")).unionByName(done.select(batch, key, F.lit(True).alias("_l")))
+    per = marks.groupBy(batch, key).agg(F.bool_or("_l").alias("_done"), F.bool_or(~F.col("_l")).alias("_drawn")).filter("_drawn")
+    return per.groupBy(batch).agg(F.bool_and("_done").alias("complete"))
 
 
 def uniform_numbers(seed: int, n: int) -> pd.DataFrame:

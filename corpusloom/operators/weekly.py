@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.stats import share
 from corpusloom.functions.time import in_range, iso_week, to_timestamp, week_start
 from corpusloom.operators.authors import per_week
-from corpusloom.operators.ranks import with_rank
 from corpusloom.operators.model import replies, roots, with_root
+from corpusloom.operators.ranks import percentiles_within, with_rank
+from corpusloom.session import durable
 
 #: Fixed value: a reply is uncivil above this score in the analyses (F16), from it on in the comparisons.
 UNCIVIL = 0.5
@@ -24,10 +25,13 @@ def weekly_scores(p: DataFrame, latest: DataFrame) -> DataFrame:
     rows = with_root(replies(p).filter(in_range(F.col("created"))), p).join(latest.select(F.col("uri").alias("zuri"), "score"), "zuri", "left")
     week = iso_week(to_timestamp(F.col("created")))
     n, scored = F.count("*"), F.count("score")
-    return rows.groupBy("outlet", week.alias("week")).agg(
-        n.alias("n_total"), scored.alias("n_scored"), (scored / n).alias("coverage"), F.avg("score").alias("mean_score"),
-        F.percentile("score", F.lit(0.5)).alias("p50"), F.percentile("score", F.lit(0.9)).alias("p90"), share(F.count_if(F.col("score") > UNCIVIL).cast("double"), scored).alias("share_uncivil"),
+    rows = durable(rows.select("outlet", week.alias("week"), "score"), "weekly")
+    sums = rows.groupBy("outlet", "week").agg(
+        n.alias("n_total"), scored.alias("n_scored"), (scored / n).alias("coverage"), F.avg("score").alias("mean_score"), share(F.count_if(F.col("score") > UNCIVIL).cast("double"), scored).alias("share_uncivil"),
     )
+    ends = percentiles_within(rows, ["outlet", "week"], "score", {"p50": 0.5, "p90": 0.9}).select(F.col("outlet").alias("_o"), F.col("week").alias("_w"), "p50", "p90")
+    met = sums.join(ends, F.col("outlet").eqNullSafe(F.col("_o")) & F.col("week").eqNullSafe(F.col("_w")), "left")
+    return met.select("outlet", "week", "n_total", "n_scored", "coverage", "mean_score", "p50", "p90", "share_uncivil")
 
 
 def weekly_activity(p: DataFrame) -> DataFrame:

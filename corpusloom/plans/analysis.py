@@ -34,7 +34,7 @@ S, L = f"{A}, {SCORES}, {LATEST}", f"{A}, {LABELS}"
 
 # structure: R1, R2, R3 and what they are built of
 _SR = f"{S}, y AS (SELECT r.*, coalesce(CAST(outlet AS VARCHAR), 'unknown') AS outlet_name, ls.score FROM r LEFT JOIN t ON r.zrooturi = t.turi LEFT JOIN ls ON ls.uri = r.zuri)"
-_AS = f"{_SR}, g AS (SELECT zauthordid, count(*) AS reply_count, count(score) AS n_scored, avg(score) AS mean_score, max(score) AS max_score, count(*) FILTER (score > 0.5) AS n_above, coalesce(sum(score) FILTER (score > 0.5), 0.0) AS mass FROM y GROUP BY 1)"
+_AS = f"{_SR}, g AS (SELECT zauthordid, count(*) AS reply_count, count(score) AS n_scored, avg(score) AS mean_score, max(score) AS max_score, count(*) FILTER (score > 0.5) AS n_above, coalesce(sum(score), 0.0) AS mass FROM y GROUP BY 1)"
 
 
 def _rows(v):
@@ -51,28 +51,51 @@ def _(v):
     return rounded(structure.gini(structure.author_scores(_rows(v)).filter("n_scored > 0"), "mass", "zauthordid"), "gini")
 
 
-for _f in (0.01, 0.05, 0.1):
-    query(
-        f"M9_top_share_{round(_f * 100)}",
-        f"{_AS}, k AS (SELECT mass, row_number() OVER (ORDER BY mass DESC, zauthordid) AS i, count(*) OVER () AS n FROM g WHERE n_scored > 0) SELECT round(sum(mass) FILTER (i <= greatest(1, round_even(n * {_f}, 0))) / nullif(sum(mass), 0), 6) AS top_share FROM k",
-    )(lambda v, f=_f: rounded(structure.top_share(structure.author_scores(_rows(v)).filter("n_scored > 0"), "mass", "zauthordid", f), "top_share"))
+_RK = f"{_AS}, v AS (SELECT *, row_number() OVER (ORDER BY reply_count DESC, zauthordid NULLS FIRST) AS volume_rank, CASE WHEN n_scored >= 10 THEN row_number() OVER (PARTITION BY n_scored >= 10 ORDER BY mean_score DESC, zauthordid NULLS FIRST) END AS mean_rank FROM g)"
 
 
-@query("W11_ranked_authors", f"""{_AS}, v AS (SELECT *, row_number() OVER (ORDER BY reply_count DESC, zauthordid) AS volume_rank FROM g ORDER BY reply_count DESC, zauthordid LIMIT 1000)
-SELECT zauthordid, reply_count, n_scored, volume_rank, CASE WHEN n_scored >= 10 THEN row_number() OVER (ORDER BY CASE WHEN n_scored >= 10 THEN mean_score END DESC NULLS LAST, zauthordid) END AS mean_rank FROM v""")
+def _share_sql(rank: str, f: float) -> str:
+    return f"(SELECT round(sum(mass) FILTER ({rank} <= greatest(1, round_even(n * {f}, 0))) / nullif(sum(mass), 0), 6) FROM (SELECT mass, {rank}, count(*) OVER () AS n FROM v WHERE {rank} IS NOT NULL))"
+
+
+for _name, _rank in (("volume", "volume_rank"), ("mean", "mean_rank")):
+    for _f in (0.01, 0.1):
+        query(f"M9_top_share_by_{_name}_{round(_f * 100)}", f"{_RK} SELECT {_share_sql(_rank, _f)} AS top_share")(
+            lambda v, f=_f, rank=_rank: v.spark.createDataFrame([(structure.top_share(structure.ranked_authors(structure.author_scores(_rows(v))), "mass", rank, f),)], "s double").select(F.round("s", 6).alias("top_share"))
+        )
+
+
+@query("W11_ranked_authors", f"{_RK} SELECT zauthordid, reply_count, n_scored, volume_rank, mean_rank FROM v")
+def _(v):
+    return structure.ranked_authors(structure.author_scores(_rows(v))).select("zauthordid", "reply_count", "n_scored", "volume_rank", "mean_rank")
+
+
+@query("R1_authors", f"{_RK} SELECT zauthordid, reply_count, n_scored, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, n_above, round(mass, 6) AS mass, volume_rank FROM v ORDER BY volume_rank")
+def _(v):
+    ranked = structure.ranked_authors(structure.author_scores(_rows(v))).drop("mean_rank")
+    return rounded(ranked, "mean_score", "max_score", "mass").orderBy("volume_rank")
+
+
+@query("R1_summary", f"""{_RK}, k AS (SELECT mass, row_number() OVER (ORDER BY mass, zauthordid) AS i FROM g WHERE n_scored > 0)
+SELECT count(*) AS n_authors, sum(reply_count)::BIGINT AS n_replies, count(*) FILTER (n_scored = 0) AS n_authors_no_score, sum(reply_count - n_scored)::BIGINT AS n_replies_no_score, count(mean_rank) AS n_eligible_for_mean_rank,
+(SELECT round(CASE WHEN sum(mass) > 0 THEN 2 * sum(i * mass) / (count(*) * sum(mass)) - (count(*) + 1) / count(*) ELSE 0 END, 6) FROM k) AS gini,
+{_share_sql('volume_rank', 0.01)} AS top1pct_share_by_volume, {_share_sql('volume_rank', 0.1)} AS top10pct_share_by_volume, {_share_sql('mean_rank', 0.01)} AS top1pct_share_by_mean_score, {_share_sql('mean_rank', 0.1)} AS top10pct_share_by_mean_score FROM v""")
 def _(v):
-    return structure.ranked_authors(structure.author_scores(_rows(v)))
+    return rounded(structure.concentration(structure.author_scores(_rows(v))), "gini", *[f"top{k}pct_share_by_{r}" for r in ("volume", "mean_score") for k in (1, 10)])
 
 
 _B = "CASE WHEN coalesce(zdepth, 0) BETWEEN 1 AND 3 THEN CAST(zdepth AS VARCHAR) WHEN zdepth >= 4 THEN '4+' ELSE 'unknown' END"
 _WLO, _WHI = (f"CASE WHEN {{n}} > 0 THEN {f}({e}, (({{k}} / {{n}}::DOUBLE + 3.8416 / (2 * {{n}})) {s} 1.96 * sqrt(({{k}} / {{n}}::DOUBLE) * (1 - {{k}} / {{n}}::DOUBLE) / {{n}} + 3.8416 / (4.0 * {{n}} * {{n}}))) / (1 + 3.8416 / {{n}})) ELSE 0.0 END" for f, e, s in (("greatest", "0.0", "-"), ("least", "1.0", "+")))
 
 
-@query("R2_escalation", f"""{_SR}, c AS (SELECT y.outlet_name, {_B.replace('zdepth', 'y.zdepth')} AS depth_bucket, y.score > 0.5 AS bad, q.score > 0.5 AS above FROM y LEFT JOIN (SELECT zuri, score FROM y WHERE score IS NOT NULL) q ON q.zuri = y.zparenturi WHERE y.score IS NOT NULL),
-u AS (SELECT CASE WHEN grouping(outlet_name) = 1 THEN 'ALL' ELSE outlet_name END AS outlet_name, CASE WHEN grouping(depth_bucket) = 1 THEN 'ALL' ELSE depth_bucket END AS depth_bucket, count(*) AS n, count(*) FILTER (above) AS n_after_bad, count(*) FILTER (NOT above) AS n_after_good, count(*) FILTER (above AND bad) AS bad_after_bad, count(*) FILTER (NOT above AND bad) AS bad_after_good FROM c GROUP BY CUBE (outlet_name, depth_bucket))
-SELECT *, round(bad_after_bad / nullif(n_after_bad, 0), 6) AS p_after_bad, round(bad_after_good / nullif(n_after_good, 0), 6) AS p_after_good, round({_WLO.format(k='bad_after_bad', n='n_after_bad')}, 6) AS low, round({_WHI.format(k='bad_after_bad', n='n_after_bad')}, 6) AS high, n < 100 AS small_n FROM u""")
+_CELLS = (("base", "n_base_uncivil", "n"), ("after_bad", "bad_after_bad", "n_after_bad"), ("after_good", "bad_after_good", "n_after_good"))
+
+
+@query("R2_escalation", f"""{_SR}, c AS (SELECT y.outlet_name, {_B.replace('zdepth', 'y.zdepth')} AS depth_bucket, y.score > 0.5 AS bad, q.score > 0.5 AS above FROM y LEFT JOIN ls q ON q.uri = y.zparenturi WHERE y.score IS NOT NULL),
+u AS (SELECT CASE WHEN grouping(outlet_name) = 1 THEN 'ALL' ELSE outlet_name END AS outlet_name, CASE WHEN grouping(depth_bucket) = 1 THEN 'ALL' ELSE depth_bucket END AS depth_bucket, count(*) AS n, count(*) FILTER (bad) AS n_base_uncivil, count(*) FILTER (above) AS n_after_bad, count(*) FILTER (NOT above) AS n_after_good, count(*) FILTER (above AND bad) AS bad_after_bad, count(*) FILTER (NOT above AND bad) AS bad_after_good FROM c GROUP BY CUBE (outlet_name, depth_bucket))
+SELECT *, n < 100 AS small_n, {', '.join(f"round({k} / nullif({n}, 0), 6) AS p_{x}, round({_WLO.format(k=k, n=n)}, 6) AS {x}_low, round({_WHI.format(k=k, n=n)}, 6) AS {x}_high" for x, k, n in _CELLS)} FROM u""")
 def _(v):
-    return rounded(structure.escalation(_rows(v)), "p_after_bad", "p_after_good", "low", "high")
+    return rounded(structure.escalation(_rows(v), v.latest_scores), *[c for x, _, _ in _CELLS for c in (f"p_{x}", f"{x}_low", f"{x}_high")])
 
 
 _DEC = f"{S}, d AS (SELECT uri, score, least(9, (10 * (row_number() OVER (ORDER BY score, uri) - 1)) // count(*) OVER ()) + 1 AS decile FROM ls)"
@@ -555,7 +578,7 @@ def _(v):
     return v.raw("zpost").select(F.explode(text.tokens(F.col("ztext"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("C6_lexicon_counts", f"SELECT z_pk, len(regexp_extract_all(lower(ztext), '({'|'.join(sorted(text.LEXICON, key=lambda t: (-len(t), t)))})')) AS n_terms FROM zpost WHERE ztext IS NOT NULL")
+@query("C6_lexicon_counts", f"SELECT z_pk, len(regexp_extract_all(lower(ztext), '({'|'.join(text.LEXICON)})')) AS n_terms FROM zpost WHERE ztext IS NOT NULL")
 def _(v):
     return v.raw("zpost").filter("ztext IS NOT NULL").select("z_pk", text.term_count(F.col("ztext"), text.LEXICON).cast("long").alias("n_terms"))
 

@@ -12,6 +12,7 @@ from corpusloom.functions.time import in_range as ranged
 from corpusloom.functions.time import to_timestamp
 from corpusloom.operators import authors as au
 from corpusloom.operators import latest, model, sampling
+from corpusloom.operators.ranks import percentiles_within
 from corpusloom.plans.views import HEAVIEST, LATEST, MESSAGES, NOTES, OUTLET, POSTS, SCORES, LABELS, Views, at, in_range, week
 
 QUERIES, SQL = {}, {}
@@ -27,6 +28,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 W, A = f"WITH {POSTS}", f"WITH {POSTS}, {NOTES}"
 S, L = f"{A}, {SCORES}, {LATEST}", f"{A}, {LABELS}"
 _ACT = "lt AS (SELECT uri, val, cts, neg FROM l QUALIFY row_number() OVER (PARTITION BY uri, val ORDER BY cts DESC NULLS LAST, seq DESC) = 1), la AS (SELECT uri, val, cts FROM lt WHERE NOT neg)"
@@ -128,23 +133,22 @@ def _(v):
     return v.scores.select("uri", "seq").unionByName(v.scores.filter("score > 0.9").select("uri", "seq"))
 
 
-_DRAWN = f"{A}, d AS (SELECT annotator, list_sort(list(DISTINCT post)) AS drawn, list(DISTINCT post) FILTER (class IN ('hate', 'counter', 'neutral')) AS done FROM a WHERE stage = 'human' AND post IS NOT NULL AND annotator <> '' GROUP BY 1)"
+_DRAWN = f"{A}, d AS (SELECT annotator, post, coalesce(bool_or(class IN ('hate', 'counter', 'neutral')), false) AS done FROM a WHERE stage = 'human' AND post IS NOT NULL AND annotator <> '' GROUP BY 1, 2)"
 
 
 def _drawn(v):
     rows = v.notes.filter("stage = 'human' AND post IS NOT NULL AND annotator <> ''")
-    kept = F.when(F.col("class").isin(model.CLASSES), F.col("post"))
-    return rows.groupBy("annotator").agg(F.array_sort(F.collect_set("post")).alias("drawn"), F.collect_set(kept).alias("done"))
+    return rows.select(F.col("annotator").alias("batch"), "post"), rows.filter(F.col("class").isin(model.CLASSES)).select(F.col("annotator").alias("batch"), "post")
 
 
-@query("U4_unlabelled", f"{_DRAWN} SELECT annotator, array_to_string(list_filter(drawn, lambda x: NOT list_contains(coalesce(done, []), x)), ',') AS open_posts FROM d")
+@query("U4_unlabelled", f"{_DRAWN} SELECT annotator, post FROM d WHERE NOT done")
 def _(v):
-    return _drawn(v).select("annotator", F.array_join(sampling.unlabelled(F.col("drawn"), F.col("done")).cast("array<string>"), ",").alias("open_posts"))
+    return sampling.unlabelled(*_drawn(v), "batch", "post").withColumnRenamed("batch", "annotator")
 
 
-@query("U5_complete", f"{_DRAWN} SELECT annotator, len(list_filter(drawn, lambda x: NOT list_contains(coalesce(done, []), x))) = 0 AS complete FROM d")
+@query("U5_complete", f"{_DRAWN} SELECT annotator, bool_and(done) AS complete FROM d GROUP BY 1")
 def _(v):
-    return _drawn(v).select("annotator", sampling.complete(F.col("drawn"), F.col("done")).alias("complete"))
+    return sampling.complete(*_drawn(v), "batch", "post").withColumnRenamed("batch", "annotator")
 
 
 @query("U6_common_keys", "SELECT zuri FROM zpost INTERSECT SELECT zuri FROM zpost_snapshot")
@@ -154,14 +158,14 @@ def _(v):
 
 @query("M4_percentiles", f"{S} SELECT model, round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.9), 6) AS p90 FROM s GROUP BY 1")
 def _(v):
-    p = lambda q: F.round(F.percentile("score", F.lit(q)), 6)
-    return v.scores.groupBy("model").agg(p(0.1).alias("p10"), p(0.9).alias("p90"))
+    return rounded(percentiles_within(v.scores, ["model"], "score", {"p10": 0.1, "p90": 0.9}), "p10", "p90")
 
 
 @query("M5_median_delay", f"{L}, {_ACT} SELECT val, round(quantile_cont((cts - created) / 86400, 0.5), 6) AS median_days FROM la JOIN p ON p.zuri = la.uri GROUP BY 1")
 def _(v):
     rows = latest.latest_then_active(v.labels).join(v.posts.select(F.col("zuri").alias("uri"), "created"), "uri")
-    return rows.groupBy("val").agg(F.round(F.percentile((F.col("cts") - F.col("created")) / 86400, F.lit(0.5)), 6).alias("median_days"))
+    days = rows.select("val", ((F.col("cts") - F.col("created")) / 86400).alias("days"))
+    return rounded(percentiles_within(days, ["val"], "days", {"median_days": 0.5}), "median_days")
 
 
 @query("M12_label_delays", f"{L}, {_ACT} SELECT uri, val, round((cts - created) / 86400, 6) AS days FROM la JOIN p ON p.zuri = la.uri")

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import channels, classify, deletions, incremental, integrity, latest, metrics, sampling, structure, threads
+from corpusloom.operators.ranks import percentiles_within
 from corpusloom.sources import documents, jsonl, sqlite
 from tests_support import posts, reply, root
 
@@ -21,11 +22,11 @@ def test_escalation_fixture(spark):
     rows = [root(1), reply(10, "a"), reply(11, "b"), reply(12, "c", depth=2, parent="p10"), reply(13, "c", depth=2, parent="p10"), reply(14, "c", depth=2, parent="p11"), reply(15, "c", depth=2, parent="p11")]
     p = posts(spark, rows)
     scores = spark.createDataFrame([("p10", 0.9), ("p11", 0.1), ("p12", 0.9), ("p13", 0.1), ("p14", 0.1), ("p15", 0.1)], "uri string, score double")
-    cube = structure.escalation(structure.scored_replies(p, scores))
+    cube = structure.escalation(structure.scored_replies(p, scores), scores)
     two = cube.filter("outlet_name = '1' AND depth_bucket = '2'").first()
     assert (two["bad_after_bad"], two["n_after_bad"], two["bad_after_good"], two["n_after_good"], two["n"], two["small_n"]) == (1, 2, 0, 2, 4, True)
     one = cube.filter("outlet_name = 'ALL' AND depth_bucket = '1'").first()
-    assert (one["n_after_bad"], one["n_after_good"], one["n"]) == (0, 0, 2)
+    assert (one["n_after_bad"], one["n_after_good"], one["n"], one["n_base_uncivil"], one["p_base"]) == (0, 0, 2, 1, 0.5)
     integrity.leaves_add_up(cube, "n", 6, ["outlet_name", "depth_bucket"])
     with pytest.raises(integrity.ReconciliationError):
         integrity.leaves_add_up(cube, "n", 7, ["outlet_name", "depth_bucket"])
@@ -42,9 +43,29 @@ def test_gini_and_top_share(spark, xs):
     df = spark.createDataFrame(list(enumerate(xs)), "k int, x double")
     got, n, t = structure.gini(df, "x", "k").first()[0], len(xs), sum(xs)
     assert math.isclose(got, sum(abs(a - b) for a in xs for b in xs) / (2 * n * t) if t else 0.0, abs_tol=1e-12)
-    share = structure.top_share(df, "x", "k", 0.3).first()[0]
-    assert share == (None if not t else sum(sorted(xs, reverse=True)[: max(1, round(n * 0.3))]) / t)
-
+    share = structure.top_share(df.withColumn("r", F.col("k") + 1), "x", "r", 0.3)
+    assert share == (None if not t else sum(xs[: max(1, round(n * 0.3))]) / t)
+
+
+def test_concentration_ranks_all_authors(spark):
+    """Shares go by volume over all authors and by mean over eligible ones, and not by mass."""
+    per = [(f"a{i:04d}", 2000 - i, 12 if i >= 1500 else 0, i / 2000 if i >= 1500 else None, 12 * i / 2000 if i >= 1500 else 0.0) for i in range(2000)]
+    df = spark.createDataFrame(per, "zauthordid string, reply_count long, n_scored long, mean_score double, mass double").repartition(7)
+    got = {r["zauthordid"]: (r["volume_rank"], r["mean_rank"]) for r in structure.ranked_authors(df).collect()}
+    assert got["a0000"] == (1, None) and got["a1999"] == (2000, 1) and got["a1500"] == (1501, 500)
+    one = structure.concentration(df).first()
+    mass = [12 * i / 2000 for i in range(1500, 2000)]
+    assert (one["n_authors"], one["n_authors_no_score"], one["n_eligible_for_mean_rank"]) == (2000, 1500, 500)
+    assert (one["top1pct_share_by_volume"], one["top10pct_share_by_volume"]) == (0.0, 0.0)
+    assert math.isclose(one["top1pct_share_by_mean_score"], sum(mass[-5:]) / sum(mass)) and math.isclose(one["top10pct_share_by_mean_score"], sum(mass[-50:]) / sum(mass))
+    none = structure.concentration(df.limit(0)).first()
+    assert (none["n_authors"], none["n_replies"], none["gini"], none["top1pct_share_by_volume"]) == (0, 0, 0.0, None)
+
+
+def test_percentiles_within(spark):
+    rows = [(g, float(x)) for g, n in (("a", 1), ("b", 2), ("c", 7), (None, 4)) for x in range(n)] + [("a", None), ("b", float("nan")), ("d", None)]
+    got = {r["g"]: (r["m"], r["p"]) for r in percentiles_within(spark.createDataFrame(rows, "g string, x double").repartition(5), ["g"], "x", {"m": 0.5, "p": 0.9}).collect()}
+    assert {k: (round(a, 9), round(b, 9)) for k, (a, b) in got.items()} == {"a": (0.0, 0.0), "b": (0.5, 0.9), "c": (3.0, 5.4), None: (1.5, 2.7)}
 
 def test_deciles_are_not_ntiles(spark):
     df = spark.createDataFrame([(f"u{i:02d}", float(i // 2)) for i in range(23)], "uri string, score double")
@@ -117,6 +138,19 @@ def test_allocation(sizes, total):
         assert all(out[k] for k, v in sizes.items() if v)
 
 
+def test_allocation_gives_equal_remainders_to_larger_strata():
+    """{a: 3, b: 11, c: 6} with 13: after one each 10 are dealt, 1.5, 5.5 and 3.0; the two of remainder 0.5 differ in size."""
+    assert sampling.allocate({"a": 3, "b": 11, "c": 6}, 13) == {"a": 2, "b": 7, "c": 4}
+    assert sampling.allocate({"z": 5, "y": 5}, 3) == {"z": 1, "y": 2}
+
+
+def test_objects_in_answers():
+    assert classify.first_object('The char "{" matters: {"class":"hate"}') == '{"class":"hate"}'
+    assert classify.first_object('}} {"a": "}"} {') == '{"a": "}"}'
+    assert classify.first_object('say "a { b" {"a": {"b": 1}}') == '{"a": {"b": 1}}'
+    assert classify.first_object("{ open") is None and classify.first_object(None) is None
+
+
 def test_draws(spark):
     g = sampling.SplitMix64(0)
     assert [g.next() for _ in range(2)] == [0xE220A8397B1DCDAF, 0x6E789E6AA1B965F4]
