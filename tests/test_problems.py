@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.uri import normal_uri, normal_uuid
 from corpusloom.operators import snapshots
 from corpusloom.operators.hierarchy import descendants, paths, roots_and_depths
-from corpusloom.operators.orphans import bloom_filter, orphan_references, orphan_report
+from corpusloom.operators import orphans
+from corpusloom.operators.orphans import orphan_references, orphan_report
 from corpusloom.operators.ranks import with_rank, with_running
 from corpusloom.operators.skew import skew_join
 
@@ -29,19 +30,35 @@ def test_uuid_normal_form(spark, given, plain):
     assert got == ("3fedff7153f9483daf3ffd36999454fb" if plain else None)
 
 
-@pytest.mark.parametrize("max_words", [1 << 21, 4, 1])
-def test_orphans_match_brute_force(spark, max_words):
-    """With a full-size filter, one that lets most pass, and none at all."""
+def _orphans(spark, most):
     rng = random.Random(1)
     keys = [f"k{i}" for i in range(60)]
     refs = [(i, rng.choice([*keys, "x1", "x2", "", None])) for i in range(400)] + [(1, "x1")]
     parents = [(k,) for k in keys[:50] * 2] + [(None,), ("",)]
     df = spark.createDataFrame(refs, "id int, ref string").withColumn("count", F.lit(1)).withColumn("key", F.lit("clash"))
-    got = orphan_references(df, spark.createDataFrame(parents, "key string"), "ref", "key", max_words)
+    got = orphan_references(df, spark.createDataFrame(parents, "key string"), "ref", "key", most)
     assert got.columns == ["id", "ref", "count", "key"]
     assert sorted((r["id"], r["ref"]) for r in got.collect()) == sorted((i, r) for i, r in refs if r and r not in keys[:50])
 
 
+def test_orphans_match_brute_force(spark):
+    _orphans(spark, 100)
+
+
+def test_orphans_with_a_filter_in_ten_segments(spark, monkeypatch):
+    """Blocks of one word, of which two are broadcast at once: the same rows."""
+    monkeypatch.setattr(orphans, "BLOCK_WORDS", 1)
+    keys = spark.range(102).select(F.col("id").cast("string").alias("k"))
+    assert orphans.bloom_filter(keys, "k", 102)[1] == 20
+    _orphans(spark, 2)
+
+
+def test_orphans_are_found_though_all_hashes_collide(spark, monkeypatch):
+    flat = lambda df, key, blocks: df.withColumns({"_block": F.lit(0).cast("long"), "_word": F.lit(0), "_mask": F.lit(1).cast("long")})
+    monkeypatch.setattr(orphans, "_marked", flat)
+    _orphans(spark, 100)
+
+
 def test_orphans_of_empty_tables(spark):
     refs = spark.createDataFrame([(1, "a")], "id int, ref string")
     none = spark.createDataFrame([], "key string")
@@ -49,11 +66,12 @@ def test_orphans_of_empty_tables(spark):
     assert orphan_references(refs.limit(0), none, "ref", "key").count() == 0
 
 
-def test_bloom_filter_is_bounded_and_skipped_when_full(spark):
-    keys = spark.range(1000).select(F.col("id").cast("string").alias("k"))
-    bits, words = bloom_filter(keys, "k", 1000)
-    assert bits.count() <= words == 188
-    assert bloom_filter(keys, "k", 1000, max_words=4) is None
+def test_bloom_filter_grows_with_its_keys(spark):
+    keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    bits, blocks = orphans.bloom_filter(keys, "k", 20_000)
+    assert blocks == bits.count() == 4 and {len(r["_words"]) for r in bits.collect()} == {orphans.BLOCK_WORDS}
+    filled = sum(bin(w & (1 << 64) - 1).count("1") for r in bits.collect() for w in r["_words"])
+    assert filled < 20_000 * orphans.PROBES and filled > 0.2 * 4 * 64 * orphans.BLOCK_WORDS
 
 
 def test_orphan_report_has_a_period_for_absurd_times(spark):
