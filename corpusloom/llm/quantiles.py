@@ -4,8 +4,9 @@ A sketch is a list of levels; an item of level h stands for 2^h values. A level
 item moves up, starting at a coin toss. Each compaction at level h changes the rank of any value by at most 2^h, up or
 down with equal chance, so that the sum of 4^h over all compactions bounds the error; the sketch carries that sum.
 
-The coin comes from a hash of what is compacted and not from a generator, so that a task that runs again after the loss
-of an executor makes the same sketch.
+Coins come from a generator that each sketch carries in its state. It starts from the seed of the call, the group and the
+task, so that sketches toss independently even where their data are equal, and a task that runs again after the loss of an
+executor makes the same sketch.
 """
 
 from __future__ import annotations
@@ -28,13 +29,26 @@ K, SHRINK, LEAST, FAN_IN = 2048, 2 / 3, 16, 64
 HELD = 2_000_000
 
 
+_MASK = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """A 64-bit finalizer: every bit of the result depends on every bit of ``x``."""
+    x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & _MASK
+    x = (x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53 & _MASK
+    return x ^ (x >> 33)
+
+
 class Sketch:
-    """A compactor hierarchy over doubles. NaN and NULL must be left out by the caller; infinities are values."""
+    """A compactor hierarchy over doubles. NaN and NULL must be left out by the caller; infinities are values.
 
-    __slots__ = ("k", "n", "err", "low", "high", "levels", "pending")
+    ``coin`` is the state of its generator. Sketches that are to be merged need different ones, or their errors add up.
+    """
+
+    __slots__ = ("k", "coin", "n", "err", "low", "high", "levels", "pending")
 
-    def __init__(self, k: int = K):
-        self.k, self.n, self.err, self.low, self.high = k, 0, 0.0, math.inf, -math.inf
+    def __init__(self, k: int = K, coin: int = 0):
+        self.k, self.coin, self.n, self.err, self.low, self.high = k, coin & _MASK, 0, 0.0, math.inf, -math.inf
         self.levels: list[np.ndarray] = [np.empty(0)]
         self.pending: list[np.ndarray] = []
 
@@ -56,6 +70,10 @@ class Sketch:
             self.pending = []
         self._compress()
 
+    def _toss(self) -> int:
+        self.coin = (self.coin + 0x9E3779B97F4A7C15) & _MASK
+        return _mixed(self.coin) & 1
+
     def _compress(self) -> None:
         h = 0
         while h < len(self.levels):
@@ -64,15 +82,16 @@ class Sketch:
                 items = np.sort(full)
                 keep = items[-1:] if len(items) % 2 else items[:0]
                 even = items[: len(items) - len(keep)]
-                coin = xxhash.xxh64_intdigest(even.tobytes(), seed=h) & 1
                 if h + 1 == len(self.levels):
                     self.levels.append(np.empty(0))
-                self.levels[h], self.levels[h + 1] = keep, np.concatenate([self.levels[h + 1], even[coin::2]])
+                self.levels[h], self.levels[h + 1] = keep, np.concatenate([self.levels[h + 1], even[self._toss() :: 2]])
                 self.err += 4.0**h
                 h = -1
             h += 1
 
     def merge(self, other: "Sketch") -> None:
+        """Take over ``other``. The smaller k and with it the larger error goes on."""
+        self.k = min(self.k, other.k)
         self._settle()
         other._settle()
         while len(self.levels) < len(other.levels):
@@ -81,6 +100,7 @@ class Sketch:
             self.levels[h] = np.concatenate([self.levels[h], items])
         self.n, self.err = self.n + other.n, self.err + other.err
         self.low, self.high = min(self.low, other.low), max(self.high, other.high)
+        self.coin = _mixed(self.coin ^ _mixed(other.coin))
         self._compress()
 
     def size(self) -> int:
@@ -88,11 +108,12 @@ class Sketch:
 
     def state(self) -> dict:
         self._settle()
-        return {"n": self.n, "err": self.err, "low": self.low, "high": self.high, "sizes": [len(x) for x in self.levels], "items": np.concatenate(self.levels)}
+        coin = self.coin - (1 << 64) if self.coin >> 63 else self.coin
+        return {"k": self.k, "coin": coin, "n": self.n, "err": self.err, "low": self.low, "high": self.high, "sizes": [len(x) for x in self.levels], "items": np.concatenate(self.levels)}
 
     @classmethod
-    def of(cls, n: int, err: float, low: float, high: float, sizes, items, k: int = K) -> "Sketch":
-        s = cls(k)
+    def of(cls, k: int, coin: int, n: int, err: float, low: float, high: float, sizes, items) -> "Sketch":
+        s = cls(int(k), int(coin))
         s.n, s.err, s.low, s.high = int(n), float(err), float(low), float(high)
         s.levels = np.split(np.asarray(items, dtype=float), np.cumsum(np.asarray(sizes, dtype=int))[:-1])
         return s
@@ -112,12 +133,15 @@ class Sketch:
         return math.sqrt(2 * math.log(2 / delta) * self.err) / self.n if self.n else 0.0
 
 
-STATE = "n long, err double, low double, high double, sizes array<int>, items array<double>"
-PARTS = ["n", "err", "low", "high", "sizes", "items"]
+STATE = "k int, coin long, n long, err double, low double, high double, sizes array<int>, items array<double>"
+PARTS = ["k", "coin", "n", "err", "low", "high", "sizes", "items"]
 
 
-def sketches(df: DataFrame, groups: list[str], value: str, k: int = K) -> DataFrame:
-    """(``groups``, n, err, low, high, sizes, items): one mergeable sketch for each group with a value.
+def sketches(df: DataFrame, groups: list[str], value: str, k: int = K, seed: int = 1) -> DataFrame:
+    """(``groups``, k, coin, n, err, low, high, sizes, items): one mergeable sketch for each group with a value.
+
+    Give separate calls, for instance of separate days, separate seeds unless the day is among the groups: sketches of the
+    same seed, group and task toss the same coins.
 
     NULL group keys form a group of their own. NULL and NaN values do not count; all others do, infinities too. Equal
     values and repeated rows count as often as they occur. Empty input gives no sketch. The result can be stored and
@@ -131,10 +155,13 @@ def sketches(df: DataFrame, groups: list[str], value: str, k: int = K) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
         held: dict[tuple, Sketch] = {}
+        handed = 0
 
         def out() -> pd.DataFrame:
+            nonlocal handed
             rows = [(*key, task, *s.state().values()) for key, s in held.items()]
             held.clear()
+            handed += 1
             return pd.DataFrame(rows, columns=[*groups, "_task", *PARTS])
 
         for pdf in batches:
@@ -147,7 +174,7 @@ def sketches(df: DataFrame, groups: list[str], value: str, k: int = K) -> DataFr
             for start, part in zip(np.concatenate([[0], cuts]), np.split(values, cuts)):
                 key = keys[codes[order[start]]]
                 if key not in held:
-                    held[key] = Sketch(k)
+                    held[key] = Sketch(k, xxhash.xxh3_64_intdigest(repr((key, task, handed)).encode("utf-8", "surrogatepass"), seed=seed & _MASK))
                 held[key].add(part)
             if sum(s.size() for s in held.values()) > HELD:
                 yield out()
@@ -155,14 +182,14 @@ def sketches(df: DataFrame, groups: list[str], value: str, k: int = K) -> DataFr
             yield out()
 
     narrow = kept.select(*[_portable(kept, g) for g in groups], "_value")
-    parts = narrow.mapInPandas(run, ", ".join([f"`{g}` string" for g in groups] + ["_task int", STATE]))
-    tasks = kept.rdd.getNumPartitions()
+    parts = durable(narrow.mapInPandas(run, ", ".join([f"`{g}` string" for g in groups] + ["_task int", STATE])), "sketches")
+    tasks = (parts.agg(F.max("_task")).first()[0] or 0) + 1
     level = FAN_IN
     while level < tasks:
-        parts = _merged(parts.withColumn("_task", F.floor(F.col("_task") / level).cast("int")), [*groups, "_task"], k)
+        parts = _merged(parts.withColumn("_task", F.floor(F.col("_task") / level).cast("int")), [*groups, "_task"])
         parts = parts.withColumn("_task", F.col("_task") * level)
         level *= FAN_IN
-    whole = _merged(parts.drop("_task"), groups, k)
+    whole = _merged(parts.drop("_task"), groups)
     return whole.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields], *PARTS)
 
 
@@ -181,7 +208,7 @@ def _codes(pdf: pd.DataFrame, groups: list[str]) -> tuple[np.ndarray, list[tuple
     return codes, keys
 
 
-def _merged(parts: DataFrame, groups: list[str], k: int) -> DataFrame:
+def _merged(parts: DataFrame, groups: list[str]) -> DataFrame:
     """Sketches with the same ``groups`` become one.
 
     Rows come sorted by group, so that a task walks through any number of groups in one pass and holds one sketch at a
@@ -193,7 +220,7 @@ def _merged(parts: DataFrame, groups: list[str], k: int) -> DataFrame:
         at, held, out = None, None, []
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                key, mine = tuple(None if pd.isna(x) else x for x in row[: len(groups)]), Sketch.of(*row[len(groups) :], k=k)
+                key, mine = tuple(None if pd.isna(x) else x for x in row[: len(groups)]), Sketch.of(*row[len(groups) :])
                 if held is not None and key == at:
                     held.merge(mine)
                     continue
@@ -210,10 +237,10 @@ def _merged(parts: DataFrame, groups: list[str], k: int) -> DataFrame:
     keys = [F.col(f"`{g}`") for g in groups]
     near = parts.repartition(*keys) if keys else parts.coalesce(1)
     schema = ", ".join([f"`{g}` {types[g]}" for g in groups] + [STATE])
-    return near.select(*keys, *PARTS).sortWithinPartitions(*keys, "n", "low", "high", "err").mapInPandas(run, schema)
+    return near.select(*keys, *PARTS).sortWithinPartitions(*keys, "n", "low", "high", "err", "coin").mapInPandas(run, schema)
 
 
-def merge_sketches(parts: DataFrame, groups: list[str], k: int = K) -> DataFrame:
+def merge_sketches(parts: DataFrame, groups: list[str]) -> DataFrame:
     """Sketches of several partitions or days, merged to one for each of the remaining ``groups``.
 
     A group merges in steps of FAN_IN, so that no task gets more than some FAN_IN sketches however many a group has.
@@ -221,12 +248,12 @@ def merge_sketches(parts: DataFrame, groups: list[str], k: int = K) -> DataFrame
     fields = [parts.schema[g] for g in groups]
     others = [c for c in parts.columns if c not in {*groups, *PARTS}]
     most = parts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    cur = parts.select(*[_portable(parts, g) for g in groups], F.xxhash64(*([F.col(f"`{c}`") for c in others] or [F.col("n"), F.col("low"), F.col("high")])).alias("_spread"), *PARTS)
+    cur = parts.select(*[_portable(parts, g) for g in groups], F.xxhash64(*([F.col(f"`{c}`") for c in others] or [F.col("n"), F.col("low"), F.col("high"), F.col("coin")])).alias("_spread"), *PARTS)
     while most > FAN_IN:
         n = -(-most // FAN_IN)
-        cur = _merged(cur.withColumn("_spread", F.pmod("_spread", F.lit(n))), [*groups, "_spread"], k)
+        cur = _merged(cur.withColumn("_spread", F.pmod("_spread", F.lit(n))), [*groups, "_spread"])
         most = n
-    whole = _merged(cur.drop("_spread"), groups, k)
+    whole = _merged(cur.drop("_spread"), groups)
     return whole.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields], *PARTS)
 
 
@@ -243,7 +270,8 @@ def percentiles(merged: DataFrame, groups: list[str], shares: list[float], delta
             out = []
             for row in pdf.itertuples(index=False):
                 s = Sketch.of(*row[len(groups) :])
-                out.append((*row[: len(groups)], s.n, s.low, s.high, s.rank_error(delta), s.quantiles(shares)))
+                found = s.quantiles(shares)
+                out.append((*row[: len(groups)], s.n, s.low, s.high, s.rank_error(delta), found))
             yield pd.DataFrame(out, columns=[*groups, "n", "low", "high", "rank_error", "percentiles"])
 
     plain = merged.select(*[_portable(merged, g) for g in groups], *PARTS).mapInPandas(run, schema)
@@ -254,12 +282,20 @@ def percentiles(merged: DataFrame, groups: list[str], shares: list[float], delta
 SHARES = [0.05, 0.5, 0.9, 0.99]
 
 
+def daily_sketches(posts: DataFrame, k: int = K) -> DataFrame:
+    """One sketch of zcreatedat for each zaccount (NULL is a group) and ingest day, written once."""
+    return durable(sketches(posts.select("zaccount", F.to_date("ingested_at").alias("ingest_day"), "zcreatedat"), ["zaccount", "ingest_day"], "zcreatedat", k), "daily")
+
+
+def _shown(found: DataFrame, groups: list[str]) -> DataFrame:
+    return found.select(*groups, "n", *[F.col("percentiles")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(SHARES)], "rank_error")
+
+
 def post_time_percentiles(posts: DataFrame, k: int = K) -> DataFrame:
-    """zcreatedat percentiles of each zaccount (NULL is a group): for each ingest day, and for all days together.
+    """zcreatedat percentiles of each zaccount (NULL is a group) over all days, from the sketches of the ingest days merged."""
+    return _shown(percentiles(merge_sketches(daily_sketches(posts, k), ["zaccount"]), ["zaccount"], SHARES), ["zaccount"])
 
-    Rows of scope 'day' come from the sketch of one outlet and day, the row of scope 'all' from those sketches merged.
-    """
-    daily = durable(sketches(posts.select("zaccount", F.to_date("ingested_at").alias("ingest_day"), "zcreatedat"), ["zaccount", "ingest_day"], "zcreatedat", k), "daily")
-    of_day = percentiles(daily, ["zaccount", "ingest_day"], SHARES).withColumn("scope", F.lit("day"))
-    whole = percentiles(merge_sketches(daily, ["zaccount"], k), ["zaccount"], SHARES).withColumns({"scope": F.lit("all"), "ingest_day": F.lit(None).cast("date")})
-    return of_day.unionByName(whole).select("scope", "zaccount", "ingest_day", "n", *[F.col("percentiles")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(SHARES)], "rank_error")
+
+def daily_percentiles(posts: DataFrame, k: int = K) -> DataFrame:
+    """zcreatedat percentiles of each zaccount and ingest day (NULL is a group in either)."""
+    return _shown(percentiles(daily_sketches(posts, k), ["zaccount", "ingest_day"], SHARES), ["zaccount", "ingest_day"])

@@ -1,4 +1,4 @@
-"""The queries of this package. None has SQL: sketches, spectra, classifiers and packings are tested in tests/llm."""
+"""The queries of this package, with SQL where it can tell what has to come out."""
 
 from __future__ import annotations
 
@@ -16,6 +16,21 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.post_time_percentiles(table(spark, sf_dir, "zpost"))
 
 
+def p1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.daily_percentiles(table(spark, sf_dir, "zpost"))
+
+
+def p1_exact_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the rank of each percentile, counted exactly, is within the stated error (and what SQL can tell: the counts)."""
+    posts = table(spark, sf_dir, "zpost").select(F.coalesce("zaccount", F.lit(-1)).alias("zaccount"), "zcreatedat").filter("zcreatedat IS NOT NULL AND NOT isnan(zcreatedat)")
+    marks = p1_percentiles(spark, sf_dir).withColumn("zaccount", F.coalesce("zaccount", F.lit(-1)))
+    met = posts.join(F.broadcast(durable(marks, "marks")), "zaccount")
+    names = [(f"p{round(100 * p):02d}", p) for p in quantiles.SHARES]
+    ranks = met.groupBy("zaccount").agg(F.count("*").alias("n_values"), F.max("n").alias("n"), F.max("rank_error").alias("e"), *[x for c, _ in names for x in (F.count_if(F.col("zcreatedat") < F.col(c)).alias(f"{c}_below"), F.count_if(F.col("zcreatedat") <= F.col(c)).alias(f"{c}_upto"))])
+    fine = [((F.col(f"{c}_below") < F.ceil(F.col("n") * p) + F.col("e") * F.col("n") + 1) & (F.col(f"{c}_upto") >= F.ceil(F.col("n") * p) - F.col("e") * F.col("n"))).alias(f"{c}_within") for c, p in names]
+    return ranks.select("zaccount", "n_values", (F.col("n") == F.col("n_values")).alias("complete"), *fine)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, _ = consensus.consensus(consensus.latest_votes(table(spark, sf_dir, "zannotation")))
     return items.select(F.col("item").alias("zpost"), F.col("label").alias("zspeechclass"))
@@ -78,5 +93,7 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id", F.array_join("kinds", ",").alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p2_found, p2_agreement, p2_annotators, p5_found, p5_rates, p7_containers, p8_found, p9_found, p9_kinds)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_exact_ranks, p2_found, p2_agreement, p2_annotators, p5_found, p5_rates, p7_containers, p8_found, p9_found, p9_kinds)}
+SQL = {
+    "p1_exact_ranks": "SELECT coalesce(zaccount, -1) AS zaccount, count(*) AS n_values, true AS complete, true AS p05_within, true AS p50_within, true AS p90_within, true AS p99_within FROM zpost WHERE zcreatedat IS NOT NULL AND NOT isnan(zcreatedat) GROUP BY 1",
+}

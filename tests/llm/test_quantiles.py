@@ -36,16 +36,42 @@ def test_merging_keeps_the_bound_and_the_count():
     rng = np.random.default_rng(2)
     parts = [rng.normal(i, 1, rng.integers(1, 3000)) for i in range(60)]
     whole = q.Sketch(256)
-    for part in parts:
-        s = q.Sketch(256)
+    for i, part in enumerate(parts):
+        s = q.Sketch(256, i)
         s.add(part)
-        whole.merge(q.Sketch.of(*s.state().values(), k=256))
+        whole.merge(q.Sketch.of(*s.state().values()))
     v = np.concatenate(parts)
     assert whole.n == len(v) == sum(len(x) << h for h, x in enumerate(whole.levels))
     for p, x in zip([0.05, 0.5, 0.95], whole.quantiles([0.05, 0.5, 0.95])):
         assert rank_gap(v, x, p) <= whole.rank_error(0.001)
 
 
+def test_equal_parts_toss_their_own_coins():
+    """Errors of 1,024 equal streams must cancel and not add up."""
+    v = np.random.default_rng(5).permutation(60_000).astype(float)
+    whole = None
+    for i in range(1024):
+        s = q.Sketch(256, q._mixed(i + 1))
+        s.add(v)
+        whole = s if whole is None else (whole.merge(s), whole)[1]
+    shares = [0.05, 0.25, 0.5, 0.75, 0.9, 0.99]
+    for p, x in zip(shares, whole.quantiles(shares)):
+        assert abs((x + 1) / 60_000 - p) <= whole.rank_error(0.001) + 1 / 60_000
+
+
+@pytest.mark.parametrize("k", [64, 8192])
+def test_k_and_its_error_pass_through(spark, k):
+    """What percentiles() states is the error of the sketch it reads, whatever its k."""
+    df = spark.range(300_000).select(F.lit(1).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v")).repartition(6)
+    v = df.toPandas()["v"].to_numpy()
+    made = q.sketches(df, ["g"], "v", k).first()
+    s = q.Sketch.of(*[made[c] for c in q.PARTS])
+    assert s.k == k and s.size() <= 3 * k + 16 * 40
+    r = q.percentiles(q.merge_sketches(q.sketches(df, ["g"], "v", k), ["g"]), ["g"], [0.1, 0.5, 0.99], 0.001).first()
+    assert r["rank_error"] == s.rank_error(0.001) and (r["rank_error"] < 0.001) == (k == 8192)
+    assert all(rank_gap(v, x, p) <= r["rank_error"] for p, x in zip([0.1, 0.5, 0.99], r["percentiles"]))
+
+
 def test_small_groups_are_exact():
     s = q.Sketch()
     s.add(np.array([3.0, 1.0, 2.0, math.inf]))
@@ -65,7 +91,7 @@ def test_groups_nulls_and_clashing_names(spark):
     rows = [(rng.choice([1, 2, None]), rng.choice(["x", None]), rng.choice([1.0, 2.0, float("nan"), None, float("inf")])) for _ in range(2000)]
     df = spark.createDataFrame(rows, "g long, d string, v double").withColumn("n", F.lit(0)).withColumn("items", F.lit("clash")).repartition(5)
     daily = q.sketches(df, ["g", "d"], "v", 64)
-    merged = q.percentiles(q.merge_sketches(daily, ["g"], 64), ["g"], [0.5])
+    merged = q.percentiles(q.merge_sketches(daily, ["g"]), ["g"], [0.5])
     got = {r["g"]: (r["n"], r["percentiles"][0]) for r in merged.collect()}
     for g in (1, 2, None):
         v = sorted(x for a, _, x in rows if a == g and x is not None and x == x)
@@ -78,7 +104,7 @@ def test_groups_nulls_and_clashing_names(spark):
 def test_many_sketches_merge_in_steps(spark, monkeypatch):
     monkeypatch.setattr(q, "FAN_IN", 4)
     df = spark.range(3000).select(F.lit(1).alias("g"), (F.col("id") % 40).alias("d"), F.col("id").cast("double").alias("v")).repartition(11)
-    r = q.percentiles(q.merge_sketches(q.sketches(df, ["g", "d"], "v", 64), ["g"], 64), ["g"], [0.5, 1.0]).first()
+    r = q.percentiles(q.merge_sketches(q.sketches(df, ["g", "d"], "v", 64), ["g"]), ["g"], [0.5, 1.0]).first()
     assert r["n"] == 3000 and abs(r["percentiles"][0] - 1500) < 3000 * r["rank_error"] and r["percentiles"][1] == 2999.0
 
 
