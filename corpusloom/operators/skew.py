@@ -20,18 +20,19 @@ def hot_keys(left: DataFrame, keys: list[str], rows: int | None = None) -> DataF
     return left.groupBy(*keys).count().filter(F.col("count") >= max(HOT_ROWS, int(HOT_SHARE * n))).select(*keys)
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, whose keys are unique; the rows of hot keys never meet in one task.
 
     The right rows of hot keys (a bounded number, see hot_keys) are broadcast, all other rows join by shuffle. ``how``
     is inner, left, left_semi or left_anti. NULL keys match nothing. Without ``rows``, the size of ``left``, it is written
-    once, as it is read several times.
+    once, as it is read several times. ``hot`` are the hot_keys, written, where many joins share them.
     """
     left = durable(left, "left") if rows is None else left
     n = left.count() if rows is None else rows
     if n < HOT_ROWS:
         return left.join(right, keys, how)
-    hot = durable(hot_keys(left.dropna(subset=keys), keys, n), "hot")
+    if hot is None:
+        hot = durable(hot_keys(left.dropna(subset=keys), keys, n), "hot")
     if hot.isEmpty():
         return left.join(right, keys, how)
     marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
