@@ -1,31 +1,38 @@
 """Consensus of annotators who disagree, by spectral reliability.
 
 The agreement matrix over annotators holds, for each pair, how much more often the two gave the same class than chance
-would have it, summed over the posts they share and divided by the number of such meetings. Its leading eigenvector gives
-each annotator's reliability. The matrix is never formed: a product with it is one pass of sparse joins, from annotator
-weights to sums per post and class and back, so that a post with many votes costs its votes and not their pairs.
+would have it, summed over the posts they share. Its leading eigenvector, corrected for how many posts each pair shares,
+gives each annotator's reliability: t is sought with C[a, b] close to m[a, b] t[a] t[b] for all pairs, where m counts the
+shared posts. Each step of the power iteration divides C t by the sum of m[a, b] t[b]^2, so that every pair counts by its
+own overlap; with equal overlaps this is the plain power iteration.
+
+The matrix is never formed: a product with it is a pass of sparse joins, from annotator weights to sums per post and back,
+so that a post with many votes costs its votes and not their pairs. A last product, not summed over classes, tells what
+a vote of each annotator for each class says about the consensus of the others; those profiles weight the votes.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpusloom.functions.uri import strip
-from corpusloom.operators.skew import lookup_join
+from corpusloom.operators.skew import HOT_ROWS, hot_keys, lookup_join, skew_join
 from corpusloom.session import durable
 
 #: The classes that count as votes.
 CLASSES = ["hate", "counter", "neutral"]
-#: Rounds of the power iteration at most, and the change of the unit vector at which it ends.
-ROUNDS, TOLERANCE = 24, 1e-4
-#: Counts that each (annotator, consensus class, given class) starts with, and annotators a consensus needs.
-PRIOR, LEAST_ANNOTATORS = 1.0, 3
-#: How often one who shares no item with others is taken to be right, and what a vote counts where nothing else tells.
-UNKNOWN, NUDGE = 0.6, 1e-6
+#: Mean change of the reliabilities at which the power iteration ends, and rounds after which it ends without.
+TOLERANCE, ROUNDS = 1e-4, 100
+#: Weight of the scalar reliability in a profile, in shared votes, least chance of a class, annotators a consensus needs.
+PRIOR, FLOOR, LEAST_ANNOTATORS = 1.0, 0.005, 3
+#: Votes of all annotators together that are added to an annotator's own before the shares of the classes are taken, as
+#: a few votes alone would make agreement with their like seem to be chance.
+SMOOTHING = 3.0
+#: How often one who shares no item with others is taken to be right.
+UNKNOWN = 0.6
 
 
 def latest_votes(notes: DataFrame) -> DataFrame:
@@ -44,104 +51,132 @@ def latest_votes(notes: DataFrame) -> DataFrame:
     return plain.groupBy("item", "annotator").agg(F.max_by("label", "order").alias("label"))
 
 
-def _product(votes: DataFrame, weights: DataFrame, n_annotators: int) -> DataFrame:
-    """(annotator, y, met): the chance-centred agreement with all others, weighted by their w, and the meetings.
+class _Votes:
+    """Votes written once with their classes as numbers, and what every pass over them needs."""
 
-    votes: (item, annotator, label, chance), where chance is how often a vote of this annotator equals a random label.
+    def __init__(self, votes: DataFrame, classes: list[str]):
+        self.classes, self.k = classes, len(classes)
+        number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
+        self.rows = durable(votes.filter(F.col("label").isin(classes)).select("item", "annotator", number.cast("int").alias("l")), "votes")
+        self.n = self.rows.count()
+        self.hot = durable(hot_keys(self.rows, ["item"], self.n), "hot") if self.n >= HOT_ROWS else None
+        counts = self.rows.groupBy("annotator").agg(F.count("*").alias("n_votes"), *[F.count_if(F.col("l") == c).alias(f"n{c}") for c in range(self.k)])
+        counts = durable(counts, "people")
+        totals = counts.agg(F.count("*").alias("n"), *[F.sum(f"n{c}").alias(f"s{c}") for c in range(self.k)]).first()
+        shares = [(totals[f"s{c}"] or 0) / (self.n or 1) for c in range(self.k)]
+        self.people = counts.select("annotator", "n_votes", *[((F.col(f"n{c}") + SMOOTHING * shares[c]) / (F.col("n_votes") + SMOOTHING)).alias(f"p{c}") for c in range(self.k)])
+        self.n_people, self.chance = totals["n"], sum(x * x for x in shares)
+
+    def with_people(self, people: DataFrame) -> DataFrame:
+        return lookup_join(self.rows, people, ["annotator"], "inner", self.n_people, self.n)
+
+    def with_items(self, voted: DataFrame, items: DataFrame) -> DataFrame:
+        return skew_join(voted, items, ["item"], "inner", self.n, self.hot)
+
+    def by_class(self, of_class: Column | list[Column]) -> list[Column]:
+        """A column for each class: the value where the vote is for it, 0 elsewhere."""
+        return [F.when(F.col("l") == c, x).otherwise(F.lit(0.0)) for c, x in enumerate(of_class if isinstance(of_class, list) else [of_class] * self.k)]
+
+
+def _product(v: _Votes, weights: DataFrame) -> DataFrame:
+    """(annotator, n_votes, p..., w, num, den) from (annotator, n_votes, p..., w).
+
+    num is the product of the chance-centred agreement matrix with w, den the sum over the same pairs of w squared. How
+    often two would agree by chance follows from the shares in which each gives the classes, so that one who gives a
+    single class to all agrees with nobody more than by chance.
     """
-    voted = lookup_join(votes, weights, ["annotator"], "inner", n_annotators)
-    of_label = voted.groupBy("item", "label").agg(F.sum("w").alias("same"), F.count("*").alias("n"))
-    of_item = of_label.groupBy("item").agg(F.sum("same").alias("all"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "same"))).alias("by"))
-    back = voted.join(of_item, "item")
-    agreed = F.coalesce(F.try_element_at("by", F.col("label")), F.lit(0.0)) - F.col("w")
-    expected = F.col("chance") * (F.col("all") - F.col("w"))
-    return back.groupBy("annotator").agg(F.sum(agreed - expected).alias("y"), F.sum(F.col("n") - 1).alias("met"))
+    w, shares = F.col("w"), [F.col(f"p{c}") for c in range(v.k)]
+    voted = v.with_people(weights)
+    items = voted.groupBy("item").agg(
+        *[F.sum(x).alias(f"s{c}") for c, x in enumerate(v.by_class(w))], *[F.sum(w * p).alias(f"e{c}") for c, p in enumerate(shares)], F.sum(w * w).alias("q"),
+    )
+    back = v.with_items(voted, items)
+    agreed = sum(v.by_class([F.col(f"s{c}") - w for c in range(v.k)]), F.lit(0.0))
+    expected = sum((p * (F.col(f"e{c}") - w * p) for c, p in enumerate(shares)), F.lit(0.0))
+    return back.groupBy("annotator").agg(F.first("n_votes").alias("n_votes"), *[F.first(f"p{c}").alias(f"p{c}") for c in range(v.k)], F.first("w").alias("w"), F.sum(agreed - expected).alias("num"), F.sum(F.col("q") - w * w).alias("den"))
+
+
+def _reliabilities(v: _Votes, rounds: int) -> DataFrame:
+    """(annotator, n_votes, p..., agreement, reliability, residual); see reliabilities."""
+    scale = math.sqrt(1 - v.chance) if v.chance < 1 else 1.0
+    weights = v.people.withColumn("w", F.lit(1.0))
+    first, fit, residual = None, F.lit(0.0), 0.0
+    for i in range(rounds):
+        y = durable(_product(v, weights), f"power{i}")
+        first = first if i else y
+        u, w = F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(F.lit(0.0)), F.col("w")
+        s = y.select(u.alias("u"), w, (w * F.col("num")).alias("a"), (w * w * F.col("den")).alias("b")).agg(
+            F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("u").alias("sign"), F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum(F.col("u") * w).alias("uw"), F.sum(w * w).alias("ww"), F.count("*").alias("n"),
+        ).first()
+        if not s["n"] or not s["b"] or s["a"] <= 0:
+            weights, residual = y.withColumn("w", F.lit(0.0)), 0.0
+            break
+        # w stands for t = c w; the next t is u / c, of the sign of the majority
+        c = math.sqrt(s["a"] / s["b"])
+        sign = 1.0 if s["sign"] >= 0 else -1.0
+        residual = math.sqrt(max(0.0, s["uu"] / c**2 - 2 * sign * s["uw"] + c**2 * s["ww"]) / s["n"])
+        fit = u * F.lit(sign / c)
+        weights = y.withColumn("w", fit).drop("num", "den")
+        if residual < TOLERANCE:
+            break
+    agreement = first.select("annotator", F.when(F.col("den") > 0, F.col("num") / F.col("den")).alias("agreement"))
+    shares = [f"p{c}" for c in range(v.k)]
+    return weights.join(agreement, "annotator").select("annotator", "n_votes", *shares, "agreement", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("w") / F.lit(scale))).alias("reliability"), F.lit(residual).alias("residual"))
 
 
-def reliabilities(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(annotator, n_votes, agreement, reliability): the leading eigenvector, scaled to chance 0 and perfection 1.
+def reliabilities(votes: DataFrame, rounds: int = ROUNDS, classes: list[str] = CLASSES) -> DataFrame:
+    """(annotator, n_votes, agreement, reliability, residual): the leading eigenvector, scaled to chance 0 and perfection 1.
 
     votes: (item, annotator, label), one row for each item and annotator. An annotator whose votes agree with the others
     no more than by chance gets about 0, one who contradicts them less than 0. The sign is that of the majority.
-    Annotators who share no item with others have agreement NULL and reliability 0. No votes give no rows.
+    agreement is the mean agreement with others above chance. Annotators who share no item with others have agreement NULL
+    and reliability 0. residual is by how much the reliabilities still moved in the last round, in the mean: above
+    TOLERANCE the iteration ended after ``rounds`` without having settled. No votes give no rows.
     """
-    votes = durable(votes.select("item", "annotator", "label"), "cast")
-    total = votes.count() or 1
-    shares = durable(votes.groupBy("label").agg((F.count("*") / F.lit(total)).alias("share")), "shares")
-    mine = lookup_join(votes, shares, ["label"], "inner", shares.count())
-    stats = durable(mine.groupBy("annotator").agg(F.avg("share").alias("chance"), F.count("*").alias("n_votes")), "annotators")
-    n = stats.count()
-    known = durable(lookup_join(mine.drop("share"), stats.select("annotator", "chance"), ["annotator"], "inner", n), "known")
-    chance = shares.agg(F.sum(F.col("share") * F.col("share"))).first()[0] or 0.0
-    weights = stats.select("annotator", F.lit(1.0).alias("w"))
-    before = None
-    for i in range(rounds):
-        y = _product(known, weights, n).select("annotator", F.when(F.col("met") > 0, F.col("y") / F.col("met")).otherwise(F.lit(0.0)).alias("y"), "met")
-        y = durable(y, f"power{i}")
-        size = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("s"), F.sum("y").alias("t")).first()
-        if not size["s"]:
-            break
-        sign = 1.0 if size["t"] >= 0 else -1.0
-        unit = y.select("annotator", (F.col("y") * F.lit(sign / size["s"])).alias("w"))
-        if before is not None:
-            moved = unit.join(before.withColumnRenamed("w", "v"), "annotator").agg(F.max(F.abs(F.col("w") - F.col("v")))).first()[0]
-            if moved is not None and moved < TOLERANCE:
-                weights = unit
-                break
-        weights, before = unit, unit
-    # for reliabilities t the product with t is (1 - chance) * t * (mean of the others' t^2), so one number scales the vector
-    last = _product(known, weights, n)
-    fit = last.join(weights, "annotator").agg(F.sum(F.col("y") * F.col("w")).alias("a"), F.sum(F.col("met") * F.col("w") * F.col("w")).alias("b")).first()
-    squares = lookup_join(known, weights, ["annotator"], "inner", n).withColumn("q", F.col("w") * F.col("w"))
-    per_item = squares.groupBy("item").agg(F.sum("q").alias("s"), F.sum(F.col("q") * F.col("q")).alias("f"))
-    d = per_item.agg(F.sum(F.col("s") * F.col("s") - F.col("f"))).first()[0]
-    scale = ((fit["a"] or 0.0) / ((1 - chance) * d)) ** 0.5 if d and fit["a"] and fit["a"] > 0 and chance < 1 else 0.0
-    agreement = last.select("annotator", "met", F.when(F.col("met") > 0, F.col("y") / F.col("met")).alias("agreement"))
-    return stats.join(weights, "annotator", "left").join(agreement, "annotator", "left").select(
-        "annotator", "n_votes", "agreement", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("w", F.lit(0.0)) * F.lit(float(scale)))).alias("reliability")
-    )
-
-
-def consensus(votes: DataFrame, least: int = LEAST_ANNOTATORS, classes: list[str] = CLASSES) -> tuple[DataFrame, DataFrame]:
+    return _reliabilities(_Votes(votes, classes), rounds).select("annotator", "n_votes", "agreement", "reliability", "residual")
+
+
+def consensus(votes: DataFrame, least: int = LEAST_ANNOTATORS, classes: list[str] = CLASSES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """The consensus of each item with votes of at least ``least`` annotators, and the annotators' reliabilities.
 
     Items: (item, label, probability, n_votes, agreement), where agreement is the share of pairs of votes that are equal.
-    Annotators: see reliabilities. Votes first count by the log odds of the spectral reliability; from that consensus each
-    annotator's habit (which class is given when another holds) is estimated with PRIOR, and the vote for a class counts
-    by it. So one who steadily swaps two classes informs, and one who gives a single class to all does not. Of equally
-    probable classes the one earlier in ``classes`` is taken. votes: (item, annotator, label), one row for each pair.
+    Annotators: see reliabilities. The votes are weighted by what the agreement matrix says of them: for a vote of
+    annotator a for class l, how much more than by chance the others, by their spectral reliability, stood for each class
+    where a gave l. So one who steadily swaps two classes informs, and one who gives a single class to all does not. Few
+    shared votes leave the weight near that of the reliability alone. Of equally probable classes the one earlier in
+    ``classes`` is taken. votes: (item, annotator, label), one row for each pair.
     """
-    k = len(classes)
-    votes = durable(votes.filter(F.col("label").isin(classes)).select("item", "annotator", "label"), "counted")
-    rel = durable(reliabilities(votes), "reliable")
-    n = rel.count()
+    v = _Votes(votes, classes)
+    k, every = v.k, range(v.k)
     right = F.least(F.lit(0.97), F.greatest(F.lit(0.03), F.lit(1 / k) + F.lit(1 - 1 / k) * F.col("reliability")))
-    right = F.when(F.col("agreement").isNull(), F.lit(UNKNOWN)).otherwise(right)
-    weighted = lookup_join(votes, rel.select("annotator", (F.log(right * (k - 1) / (1 - right)) + NUDGE).alias("w")), ["annotator"], "inner", n)
-    first = _most_probable(weighted.select("item", F.create_map(*[x for c in classes for x in (F.lit(c), F.when(F.col("label") == c, F.col("w")).otherwise(F.lit(0.0)))]).alias("logs")), classes, {c: 0.0 for c in classes})
-    first = durable(first.select("item", F.col("label").alias("held"), "probability"), "first")
-    habits = votes.join(first, "item").groupBy("annotator", "held", "label").agg(F.sum("probability").alias("c"))
-    tops = {r["held"]: r["c"] for r in first.groupBy("held").agg(F.count("*").alias("c")).collect()}
-    total = sum(tops.values()) or 1
-    prior = {c: math.log((tops.get(c, 0) + PRIOR) / (total + PRIOR * k)) for c in classes}
-    every = F.array(*[F.lit(c) for c in classes])
-    given = rel.select("annotator", F.explode(every).alias("held")).withColumn("label", F.explode(every))
-    rates = given.join(habits, ["annotator", "held", "label"], "left").select("annotator", "held", "label", (F.coalesce("c", F.lit(0.0)) + PRIOR / k).alias("c"))
-    rates = rates.withColumn("p", F.log(F.col("c") / F.sum("c").over(W.partitionBy("annotator", "held"))))
-    table = durable(rates.groupBy("annotator", "label").agg(F.map_from_entries(F.collect_list(F.struct("held", "p"))).alias("logs")), "habits")
-    final = _most_probable(lookup_join(votes, table, ["annotator", "label"], "inner", n * k).select("item", "logs"), classes, prior)
-    pairs = votes.groupBy("item", "label").agg(F.count("*").alias("c")).groupBy("item").agg(F.sum("c").alias("n_votes"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
-    items = pairs.filter(F.col("n_votes") >= least).join(final, "item").select(
-        "item", "label", "probability", "n_votes", F.when(F.col("n_votes") > 1, F.col("same") / (F.col("n_votes") * (F.col("n_votes") - 1))).alias("agreement")
-    )
-    return items, rel
-
-
-def _most_probable(scored: DataFrame, classes: list[str], prior: dict[str, float]) -> DataFrame:
-    """(item, label, probability) from rows of (item, map of class to log likelihood)."""
-    sums = scored.groupBy("item").agg(*[F.sum(F.col("logs")[c]).alias(f"_{i}") for i, c in enumerate(classes)])
-    logs = [F.col(f"_{i}") + F.lit(prior[c]) for i, c in enumerate(classes)]
+    known = durable(_reliabilities(v, rounds).withColumns({"r": F.greatest(F.lit(0.0), F.col("reliability")), "right": F.when(F.col("agreement").isNull(), F.lit(UNKNOWN)).otherwise(right)}), "known")
+    voted = v.with_people(known.select("annotator", "r", "right", *[f"p{c}" for c in every]))
+    odds = F.log(F.col("right") * (k - 1) / (1 - F.col("right")))
+    centred = [x - F.col("r") * F.col(f"p{c}") for c, x in enumerate(v.by_class(F.col("r")))]
+    sums = voted.groupBy("item").agg(*[F.sum(x).alias(f"o{c}") for c, x in enumerate(v.by_class(odds))], *[F.sum(x).alias(f"s{c}") for c, x in enumerate(centred)], F.sum(F.col("r") * F.col("r")).alias("g"))
+    items = durable(sums, "items")
+    tops = {r["top"]: r["count"] for r in items.select(_first_greatest([F.col(f"o{c}") for c in every]).alias("top")).groupBy("top").count().collect()}
+    prior = [(tops.get(c, 0) + PRIOR) / (sum(tops.values()) + PRIOR * k) for c in every]
+
+    others = v.with_items(voted, items.select("item", *[f"s{c}" for c in every], "g"))
+    moments = others.groupBy("annotator", "l").agg(*[F.sum(F.col(f"s{c}") - x).alias(f"f{c}") for c, x in enumerate(centred)], F.sum(F.col("g") - F.col("r") * F.col("r")).alias("d"), F.first("right").alias("right"))
+    by_rate = [F.lit(prior[c]) * F.when(F.col("l") == c, F.col("right")).otherwise((1 - F.col("right")) / (k - 1)) for c in every]
+    whole = sum(by_rate[1:], by_rate[0])
+    chances = [F.greatest(F.lit(FLOOR), (PRIOR * by_rate[c] / whole + F.lit(prior[c]) * F.col("d") + F.col(f"f{c}")) / (PRIOR + F.col("d"))) for c in every]
+    total = sum(chances[1:], chances[0])
+    profiles = durable(moments.select("annotator", "l", *[F.log(x / total / prior[c]).alias(f"w{c}") for c, x in enumerate(chances)]), "profiles")
+    weighted = lookup_join(v.rows, profiles, ["annotator", "l"], "inner", v.n_people * k, v.n)
+    found = weighted.groupBy("item").agg(*[(F.sum(f"w{c}") + math.log(prior[c])).alias(f"w{c}") for c in every], F.count("*").alias("n_votes"), *[F.count_if(F.col("l") == c).alias(f"n{c}") for c in every])
+    logs = [F.col(f"w{c}") for c in every]
     best = F.greatest(*logs)
-    total = sum((F.exp(x - best) for x in logs[1:]), F.exp(logs[0] - best))
-    label = F.coalesce(*[F.when(x == best, F.lit(c)) for x, c in zip(logs, classes)])
-    return sums.select("item", label.alias("label"), (1 / total).alias("probability"))
+    same = sum((F.col(f"n{c}") * (F.col(f"n{c}") - 1) for c in every), F.lit(0))
+    result = found.filter(F.col("n_votes") >= least).select(
+        "item", F.array(*[F.lit(c) for c in classes])[_first_greatest(logs)].alias("label"), (1 / sum((F.exp(x - best) for x in logs[1:]), F.exp(logs[0] - best))).alias("probability"),
+        "n_votes", F.when(F.col("n_votes") > 1, same / (F.col("n_votes") * (F.col("n_votes") - 1))).alias("agreement"),
+    )
+    return result, known.select("annotator", "n_votes", "agreement", "reliability", "residual")
+
+
+def _first_greatest(values: list[Column]) -> Column:
+    best = F.greatest(*values)
+    return F.coalesce(*[F.when(x == best, F.lit(c)) for c, x in enumerate(values)])

@@ -43,7 +43,7 @@ def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = consensus.reliabilities(consensus.latest_votes(table(spark, sf_dir, "zannotation")))
-    return found.select("annotator", "n_votes", F.round("agreement", 6).alias("agreement"), F.round("reliability", 6).alias("reliability"))
+    return found.select("annotator", "n_votes", F.round("agreement", 6).alias("agreement"), F.round("reliability", 6).alias("reliability"), F.round("residual", 6).alias("residual"))
 
 
 def _abuse_model(spark: SparkSession, sf_dir: str):

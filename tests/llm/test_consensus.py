@@ -47,6 +47,50 @@ def test_consensus_beats_the_majority(spark):
     assert all(abs(rel[f"good{i}"] - 0.85) < 0.12 for i in range(7))
 
 
+def exact_fit(votes, rounds=200):
+    """The reliabilities by the dense matrix: C[a, b] and m[a, b] of every pair, then the same fixed point."""
+    import numpy as np
+
+    people = sorted({a for _, a, _ in votes})
+    at, k = {a: i for i, a in enumerate(people)}, len(c.CLASSES)
+    p = np.zeros((len(people), k))
+    for _, a, x in votes:
+        p[at[a], c.CLASSES.index(x)] += 1
+    shares = p.sum(0) / p.sum()
+    p = (p + c.SMOOTHING * shares) / (p.sum(1, keepdims=True) + c.SMOOTHING)
+    by = {}
+    for i, a, x in votes:
+        by.setdefault(i, []).append((at[a], x))
+    C, m = np.zeros((len(people),) * 2), np.zeros((len(people),) * 2)
+    for v in by.values():
+        for a, x in v:
+            for b, y in v:
+                if a != b:
+                    C[a, b] += (x == y) - p[a] @ p[b]
+                    m[a, b] += 1
+    w = np.ones(len(people))
+    for _ in range(rounds):
+        u = (C @ w) / (m @ w**2)
+        w = u / np.sqrt((w @ C @ w) / (w**2 @ m @ w**2))
+    return dict(zip(people, w / np.sqrt(1 - (shares**2).sum())))
+
+
+def test_reliabilities_are_those_of_the_dense_matrix(spark):
+    """With uneven overlaps: a few annotators share most of their posts, others hardly any."""
+    rng = random.Random(9)
+    _, votes = votes_of(PEOPLE, 300, 2, 4)
+    votes = [x for x in votes if x[1] not in ("good0", "fair0") or x[0] % 10 == 0] + [(1000 + i, a, rng.choice(c.CLASSES)) for i in range(60) for a in ("good1", "dice")]
+    want = exact_fit(votes)
+    got = {r["annotator"]: r for r in c.reliabilities(spark.createDataFrame(votes, "item long, annotator string, label string")).collect()}
+    assert all(abs(got[a]["reliability"] - max(-1, min(1, x))) < 2e-3 for a, x in want.items())
+    assert all(r["residual"] < c.TOLERANCE for r in got.values())
+
+
+def test_unsettled_iterations_say_so(spark):
+    _, votes = votes_of(PEOPLE, 100, 3)
+    assert c.reliabilities(spark.createDataFrame(votes, "item long, annotator string, label string"), rounds=1).first()["residual"] > c.TOLERANCE
+
+
 def test_few_votes_ties_and_nothing(spark):
     schema = "item long, annotator string, label string"
     items, people = c.consensus(spark.createDataFrame([(1, "a", "hate"), (1, "b", "hate"), (2, "a", "neutral"), (2, "b", "counter"), (2, "d", "hate")], schema))
