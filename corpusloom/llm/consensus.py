@@ -96,11 +96,11 @@ def _product(v: _Votes, weights: DataFrame) -> DataFrame:
     return back.groupBy("annotator").agg(F.first("n_votes").alias("n_votes"), *[F.first(f"p{c}").alias(f"p{c}") for c in range(v.k)], F.first("w").alias("w"), F.sum(agreed - expected).alias("num"), F.sum(F.col("q") - w * w).alias("den"))
 
 
-def _reliabilities(v: _Votes, rounds: int) -> DataFrame:
-    """(annotator, n_votes, p..., agreement, reliability, residual); see reliabilities."""
+def _reliabilities(v: _Votes, rounds: int) -> tuple[DataFrame, bool]:
+    """(annotator, n_votes, p..., agreement, reliability, residual), see reliabilities, and whether there is agreement."""
     scale = math.sqrt(1 - v.chance) if v.chance < 1 else 1.0
     weights = v.people.withColumn("w", F.lit(1.0))
-    first, fit, residual = None, F.lit(0.0), 0.0
+    first, y, held, residual = None, None, False, 0.0
     for i in range(rounds):
         y = durable(_product(v, weights), f"power{i}")
         first = first if i else y
@@ -108,20 +108,23 @@ def _reliabilities(v: _Votes, rounds: int) -> DataFrame:
         s = y.select(u.alias("u"), w, (w * F.col("num")).alias("a"), (w * w * F.col("den")).alias("b")).agg(
             F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("u").alias("sign"), F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum(F.col("u") * w).alias("uw"), F.sum(w * w).alias("ww"), F.count("*").alias("n"),
         ).first()
-        if not s["n"] or not s["b"] or s["a"] <= 0:
-            weights, residual = y.withColumn("w", F.lit(0.0)), 0.0
+        held = bool(s["n"] and s["b"] and s["a"])
+        if not held:
+            residual = 0.0
             break
         # w stands for t = c w; the next t is u / c, of the sign of the majority
-        c = math.sqrt(s["a"] / s["b"])
+        c = math.sqrt(abs(s["a"]) / s["b"])
         sign = 1.0 if s["sign"] >= 0 else -1.0
         residual = math.sqrt(max(0.0, s["uu"] / c**2 - 2 * sign * s["uw"] + c**2 * s["ww"]) / s["n"])
         fit = u * F.lit(sign / c)
-        weights = y.withColumn("w", fit).drop("num", "den")
+        weights, held = y.withColumn("w", fit).drop("num", "den"), s["a"] > 0
         if residual < TOLERANCE:
             break
+    if not held:  # nobody agrees more than by chance
+        weights = y.withColumn("w", F.lit(0.0))
     agreement = first.select("annotator", F.when(F.col("den") > 0, F.col("num") / F.col("den")).alias("agreement"))
     shares = [f"p{c}" for c in range(v.k)]
-    return weights.join(agreement, "annotator").select("annotator", "n_votes", *shares, "agreement", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("w") / F.lit(scale))).alias("reliability"), F.lit(residual).alias("residual"))
+    return weights.join(agreement, "annotator").select("annotator", "n_votes", *shares, "agreement", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("w") / F.lit(scale))).alias("reliability"), F.lit(residual).alias("residual")), held
 
 
 def reliabilities(votes: DataFrame, rounds: int = ROUNDS, classes: list[str] = CLASSES) -> DataFrame:
@@ -130,10 +133,10 @@ def reliabilities(votes: DataFrame, rounds: int = ROUNDS, classes: list[str] = C
     votes: (item, annotator, label), one row for each item and annotator. An annotator whose votes agree with the others
     no more than by chance gets about 0, one who contradicts them less than 0. The sign is that of the majority.
     agreement is the mean agreement with others above chance. Annotators who share no item with others have agreement NULL
-    and reliability 0. residual is by how much the reliabilities still moved in the last round, in the mean: above
+    and reliability 0, and all have 0 if nobody agrees with others more than by chance; their votes then count alike. residual is by how much the reliabilities still moved in the last round, in the mean: above
     TOLERANCE the iteration ended after ``rounds`` without having settled. No votes give no rows.
     """
-    return _reliabilities(_Votes(votes, classes), rounds).select("annotator", "n_votes", "agreement", "reliability", "residual")
+    return _reliabilities(_Votes(votes, classes), rounds)[0].select("annotator", "n_votes", "agreement", "reliability", "residual")
 
 
 def consensus(votes: DataFrame, least: int = LEAST_ANNOTATORS, classes: list[str] = CLASSES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +152,9 @@ def consensus(votes: DataFrame, least: int = LEAST_ANNOTATORS, classes: list[str
     v = _Votes(votes, classes)
     k, every = v.k, range(v.k)
     right = F.least(F.lit(0.97), F.greatest(F.lit(0.03), F.lit(1 / k) + F.lit(1 - 1 / k) * F.col("reliability")))
-    known = durable(_reliabilities(v, rounds).withColumns({"r": F.greatest(F.lit(0.0), F.col("reliability")), "right": F.when(F.col("agreement").isNull(), F.lit(UNKNOWN)).otherwise(right)}), "known")
+    people, held = _reliabilities(v, rounds)
+    right = F.when(F.col("agreement").isNull() | F.lit(not held), F.lit(UNKNOWN)).otherwise(right)
+    known = durable(people.withColumns({"r": F.greatest(F.lit(0.0), F.col("reliability")), "right": right}), "known")
     voted = v.with_people(known.select("annotator", "r", "right", *[f"p{c}" for c in every]))
     odds = F.log(F.col("right") * (k - 1) / (1 - F.col("right")))
     centred = [x - F.col("r") * F.col(f"p{c}") for c, x in enumerate(v.by_class(F.col("r")))]
