@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import importlib.util
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,9 @@ from corpusloom.session import durable
 CAPACITY, TASK_ITEMS, FULL = 2048, 200_000, 0.995
 #: Rounds over what earlier rounds left in rather empty containers.
 ROUNDS = 4
+#: Characters after which a text is handed to the tokenizer in parts, cut at the next space between two letters: there the
+#: pattern of the vocabulary ends a token whatever comes before or after, so that the parts have the tokens of the whole.
+PART, _CUT = 200_000, re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 #: The vocabulary whose tokens are counted, in the folder of public tokenizers (a parameter where it is elsewhere).
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -46,6 +50,15 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """``text`` in parts of at least ``size`` characters whose tokens are those of the whole; one part where no cut is safe."""
+    start = 0
+    while cut := _CUT.search(text, start + size):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
 def token_counts(df: DataFrame, text: str, path: str | None = None, name: str = "n_tokens") -> DataFrame:
     """``df`` with the number of tokens of ``text``: 0 for NULL and empty texts. Special tokens' strings are ordinary text."""
     path = path or vocabulary_path()
@@ -54,7 +67,7 @@ def token_counts(df: DataFrame, text: str, path: str | None = None, name: str =
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = _encoding(path).encode_ordinary
         for texts in batches:
-            yield texts.map(lambda t: sum(len(encode(t[i : i + 200_000])) for i in range(0, len(t), 200_000)) if t else 0).astype("int64")
+            yield texts.map(lambda t: sum(len(encode(p)) for p in parts(t)) if t else 0).astype("int64")
 
     return df.withColumn(name, F.coalesce(count(F.col(text)), F.lit(0)))
 

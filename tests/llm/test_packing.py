@@ -20,6 +20,18 @@ def test_pack_is_close_to_the_bound(seed):
     assert len(load) <= max(-(-sizes.sum() // 2048), (sizes > 1024).sum()) * 1.05 + 1
 
 
+def test_parts_have_the_tokens_of_the_whole():
+    encode = packing._encoding(packing.vocabulary_path()).encode_ordinary
+    rng = random.Random(3)
+    bits = [" ", "  ", "\n", " \n", "\u00a0", "word", "Wörter", "it's", "123", "4th", "!?", "²", "_", "don't ", "\x1c", "日本", "e\u0301"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 120)))
+        cut = list(packing.parts(text, 7))
+        assert "".join(cut) == text and [x for p in cut for x in encode(p)] == encode(text)
+    text = "lorem ipsum " * 40_000
+    assert len(list(packing.parts(text))) > 1 and sum(len(encode(p)) for p in packing.parts(text)) == len(encode(text))
+
+
 def test_rule_is_that_of_least_squares():
     """Each choice against all choices, by the full sum of squares."""
     rng = random.Random(5)
