@@ -3,24 +3,29 @@
 The rows of a delivery are spread over hash buckets; each bucket becomes a table of cells that hold a count and the XOR
 of key hashes, row hashes and check hashes. Such cells combine on the map side, so what is shuffled depends on the
 number of cells and not of rows. The tables of two deliveries subtract to one of only the differing rows, which is
-peeled: a cell with a single row gives it away and frees other cells. Buckets that do not peel are built again with
-more cells; what still resists after ROUNDS is compared row by row.
+peeled: a cell with a single row gives it away and frees other cells. How many cells a bucket starts with follows from
+how much the rows of one stratum of hashes differ. Buckets that do not peel are built again with more cells; what still
+resists after ROUNDS is compared row by row. A row is known by two independent hashes, of its key and of key and value
+under another seed; recovered rows get their keys back before they are classified.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.uri import normal_uri, strip
 from corpusloom.session import broadcast_if_small, durable
 
-#: Rows of a delivery in a bucket, cells a bucket starts with in each of the sub-tables, the growth of failed buckets.
-BUCKET_ROWS, CELLS, TABLES, GROWTH, ROUNDS = 20_000, 512, 3, 4, 4
+#: Rows of a delivery in a bucket, sub-tables, the growth of failed buckets.
+BUCKET_ROWS, TABLES, GROWTH, ROUNDS = 20_000, 3, 4, 4
+#: One of STRATA rows is compared to estimate how many differ; a bucket starts with CELLS_PER_ROW cells for each of those.
+STRATA, CELLS_PER_ROW = 64, 1.5
 
 PEELED = "pair int, bucket int, h long, v long, side int, ok boolean"
 
@@ -92,12 +97,30 @@ def latest_rows(snapshots: DataFrame, delivery: str, key: str, value: str, loade
     return last.select("delivery", "key", F.col("last.value").alias("value"))
 
 
-def snapshot_changes(snapshots: DataFrame, delivery: str, key: str, value: str, loaded: str, cells: int = CELLS) -> DataFrame:
+def _differing(base: DataFrame, sides: DataFrame) -> DataFrame:
+    """(pair, bucket, h, v, side): the rows that only one of two deliveries has, by comparing all of ``base``."""
+    signed = base.join(F.broadcast(sides), "delivery")
+    return signed.groupBy("pair", "bucket", "h", "v").agg(F.sum("side").cast("int").alias("side")).filter("side <> 0")
+
+
+def first_cells(base: DataFrame, sides: DataFrame, buckets: int) -> int:
+    """Cells of a sub-table with which nearly all buckets peel, from the differences within one stratum of row hashes.
+
+    The estimate is for the pair of deliveries that differ most, raised by the chance errors of the stratum and of a bucket.
+    """
+    stratum = base.filter(F.pmod(F.xxhash64(F.col("h").bitwiseXOR(F.col("v")), F.lit(9)), F.lit(STRATA)) == 0)
+    most = _differing(stratum, sides).groupBy("pair").count().agg(F.max("count")).first()[0] or 0
+    each = STRATA * (most + 2 * math.sqrt(most) + 2) / buckets
+    return math.ceil(CELLS_PER_ROW * (each + 3 * math.sqrt(each)) / TABLES)
+
+
+def snapshot_changes(snapshots: DataFrame, delivery: str, key: str, value: str, loaded: str, cells: int | None = None) -> DataFrame:
     """(``delivery``, ``key``, ``change``): what was 'added', 'removed' or 'changed' from each delivery to the next.
 
     ``key`` and ``value`` hold normalised values. NULL is a value like others; rows with a NULL key or delivery are left
     out. Of repeated keys in a delivery the one loaded last counts. Deliveries follow each other by their own order; the
-    first has no changes. Fewer than two deliveries, or no rows, give no changes. Other columns are not read.
+    first has no changes. Fewer than two deliveries, or no rows, give no changes. Other columns are not read. ``cells``, of
+    each sub-table of a bucket to begin with, are estimated where not given.
     """
     spark = snapshots.sparkSession
     dates = [r[0] for r in snapshots.select(delivery).distinct().filter(F.col(delivery).isNotNull()).orderBy(delivery).collect()]
@@ -106,73 +129,63 @@ def snapshot_changes(snapshots: DataFrame, delivery: str, key: str, value: str,
     if len(dates) < 2:
         return spark.createDataFrame([], out)
     rows = latest_rows(snapshots, delivery, key, value, loaded)
-    n = snapshots.count()
-    buckets = max(1, -(-n // (len(dates) * BUCKET_ROWS)))
-    hashed = rows.select("delivery", F.xxhash64("key").alias("h"), F.xxhash64("key", F.coalesce("value", F.lit("\0null"))).alias("v"))
+    buckets = max(1, -(-snapshots.count() // (len(dates) * BUCKET_ROWS)))
+    hashed = rows.select("delivery", "key", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(13), "key", F.coalesce("value", F.lit("\0null"))).alias("v"))
+    # the keys are written along, so that rows are shuffled once; what only needs hashes does not read them
     base = durable(hashed.withColumn("bucket", F.pmod(F.xxhash64(F.col("h"), F.lit(5)), F.lit(buckets)).cast("int")), "rows")
     side_rows = [(d, i, 1) for i, d in enumerate(dates) if i] + [(d, i + 1, -1) for i, d in enumerate(dates[:-1])]
     sides = spark.createDataFrame(side_rows, f"delivery {kind}, pair int, side int")
+    digests = durable(_digests(base, sides), "digests")
 
-    parts, m, todo, source = [], cells, None, base
-    for again in range(ROUNDS + 1):
-        if again == ROUNDS:
-            signed = source.join(F.broadcast(sides), "delivery").join(todo, ["pair", "bucket"], "left_semi")
-            left = signed.groupBy("pair", "bucket", "h", "v").agg(F.sum("side").cast("int").alias("side")).filter("side <> 0")
-            parts.append(left.select("pair", "h", "v", "side"))
-            break
+    parts, todo, source = [], None, base
+    m = cells or first_cells(base, sides, buckets)
+    for again in range(ROUNDS):
         diff = _cells(source, sides, m)
         if todo is not None:
             diff = diff.join(todo, ["pair", "bucket"], "left_semi")
         peeled = durable(diff.groupBy("pair", "bucket").applyInPandas(_peeler(m), PEELED), f"peeled{again}")
-        parts.append(_verified(peeled, base, sides, todo).select("pair", "h", "v", "side"))
-        left = durable(_failed(peeled, base, sides, todo), f"failed{again}")
+        checked = durable(_checked(peeled, digests, todo), f"checked{again}")
+        parts.append(peeled.filter("ok").join(checked.filter("same"), ["pair", "bucket"], "left_semi").select("pair", "h", "v", "side"))
+        left = checked.filter("NOT same").select("pair", "bucket")
         n_left = left.count()
         if not n_left:
             break
         todo = broadcast_if_small(left, n_left)
         source = base.join(todo.select("bucket"), "bucket", "left_semi")
         m *= GROWTH
+    else:
+        parts.append(_differing(source, sides).join(todo, ["pair", "bucket"], "left_semi").select("pair", "h", "v", "side"))
     recovered = parts[0]
     for part in parts[1:]:
         recovered = recovered.unionByName(part)
-    kinds = recovered.groupBy("pair", "h").agg(F.max(F.when(F.col("side") > 0, F.col("v"))).alias("new"), F.max(F.when(F.col("side") < 0, F.col("v"))).alias("old"))
-    changes = durable(
-        kinds.select(
-            "pair", "h", F.coalesce("new", "old").alias("v"),
-            F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").otherwise("changed").alias("change"),
-            (F.col("pair") - F.when(F.col("new").isNull(), 1).otherwise(0)).alias("at"),
-        ),
-        "changes",
-    )
     order = spark.createDataFrame(list(enumerate(dates)), f"at int, delivery {kind}")
-    wanted = changes.join(F.broadcast(order), "at")
-    names = rows.withColumn("h", F.xxhash64("key")).withColumn("v", F.xxhash64("key", F.coalesce("value", F.lit("\0null"))))
-    met = names.join(broadcast_if_small(wanted, changes.count()), ["delivery", "h", "v"])
-    later = order.withColumnsRenamed({"at": "pair", "delivery": "to"})
-    return met.select("pair", "key", "change").join(F.broadcast(later), "pair").select(F.col("to").alias("delivery"), "key", "change")
+    wanted = durable(recovered.withColumn("at", F.when(F.col("side") > 0, F.col("pair")).otherwise(F.col("pair") - 1)).join(F.broadcast(order), "at").drop("at"), "recovered")
+    named = base.select("delivery", "key", "h", "v").join(broadcast_if_small(wanted, wanted.count()), ["delivery", "h", "v"])
+    change = F.when(F.min("side") > 0, "added").when(F.max("side") < 0, "removed").otherwise("changed")
+    later = order.withColumnsRenamed({"at": "pair"})
+    return named.groupBy("pair", "key").agg(change.alias("change")).join(F.broadcast(later), "pair").select("delivery", "key", "change")
 
 
-def _checks(peeled: DataFrame, base: DataFrame, sides: DataFrame, todo: DataFrame | None) -> DataFrame:
-    """(pair, bucket, same): whether the peeled rows have the digest by which the two deliveries differ.
+_OWN = (1 << 40) - 1
 
-    The digest sums a hash that the cells do not hold; one partial sum a bucket is shuffled.
-    """
-    own = F.xxhash64(F.col("v"), F.col("h"), F.lit(3)).bitwiseAND(F.lit((1 << 40) - 1))
-    true = base.withColumn("c", own).groupBy("delivery", "bucket").agg(F.sum("c").alias("c")).join(F.broadcast(sides), "delivery").groupBy("pair", "bucket").agg(F.sum(F.col("c") * F.col("side")).alias("true_c"))
-    if todo is not None:
-        true = true.join(todo, ["pair", "bucket"], "left_semi")
-    got = peeled.groupBy("pair", "bucket").agg(F.sum(F.when(F.col("ok"), own * F.col("side")).otherwise(F.lit(0))).alias("got_c"), F.min("ok").alias("ok"))
-    both = true.join(got, ["pair", "bucket"], "left")
-    return both.select("pair", "bucket", (F.coalesce("ok", F.lit(True)) & (F.coalesce("got_c", F.lit(0)) == F.col("true_c"))).alias("same"))
 
+def _own() -> Column:
+    """A hash of a row that the cells do not hold."""
+    return F.xxhash64(F.col("v"), F.col("h"), F.lit(3)).bitwiseAND(F.lit(_OWN))
 
-def _verified(peeled: DataFrame, base: DataFrame, sides: DataFrame, todo: DataFrame | None) -> DataFrame:
-    good = _checks(peeled, base, sides, todo).filter("same").select("pair", "bucket")
-    return peeled.filter("ok").join(good, ["pair", "bucket"], "left_semi")
 
+def _digests(base: DataFrame, sides: DataFrame) -> DataFrame:
+    """(pair, bucket, digest): by how much the sums of the rows' own hashes differ; one partial sum a bucket is shuffled."""
+    sums = base.groupBy("delivery", "bucket").agg(F.sum(_own()).alias("c")).join(F.broadcast(sides), "delivery")
+    return sums.groupBy("pair", "bucket").agg(F.sum(F.col("c") * F.col("side")).alias("digest"))
 
-def _failed(peeled: DataFrame, base: DataFrame, sides: DataFrame, todo: DataFrame | None) -> DataFrame:
-    return _checks(peeled, base, sides, todo).filter("NOT same").select("pair", "bucket")
+
+def _checked(peeled: DataFrame, digests: DataFrame, todo: DataFrame | None) -> DataFrame:
+    """(pair, bucket, same): whether the peeled rows have the digest by which the two deliveries differ."""
+    true = digests if todo is None else digests.join(todo, ["pair", "bucket"], "left_semi")
+    got = peeled.groupBy("pair", "bucket").agg(F.sum(F.when(F.col("ok"), _own() * F.col("side")).otherwise(F.lit(0))).alias("got"), F.min("ok").alias("ok"))
+    both = true.join(got, ["pair", "bucket"], "left")
+    return both.select("pair", "bucket", (F.coalesce("ok", F.lit(True)) & (F.coalesce("got", F.lit(0)) == F.col("digest"))).alias("same"))
 
 
 def status(c):

@@ -127,7 +127,7 @@ def _snapshot(rows, day, at):
     return [(dt.date(2025, 1, day), k, v, dt.datetime(2025, 1, day, at)) for k, v in rows.items()]
 
 
-@pytest.mark.parametrize("cells", [512, 2])
+@pytest.mark.parametrize("cells", [512, None, 2])
 def test_snapshot_changes(spark, cells):
     """With cells enough, and with so few that buckets are enlarged and the last compared row by row."""
     rng = random.Random(2)
@@ -141,6 +141,31 @@ def test_snapshot_changes(spark, cells):
     assert got == expected
 
 
+def test_first_cells_let_buckets_peel(spark):
+    """Nine in ten buckets peel in the first round, for few and for many changes."""
+    for share in (0.0005, 0.05, 0.6):
+        rows = spark.range(40_000).select((F.col("id") % 2).cast("int").alias("delivery"), F.xxhash64(F.expr("id div 2")).alias("h"), F.expr("id div 2").alias("k"), "id")
+        moved = (F.pmod(F.xxhash64("k", F.lit(1)), F.lit(10_000)) < share * 10_000) & (F.col("delivery") == 1)
+        base = rows.select("delivery", "h", F.xxhash64(F.lit(13), "k", moved).alias("v"), F.pmod(F.xxhash64("h", F.lit(5)), F.lit(20)).cast("int").alias("bucket"))
+        sides = spark.createDataFrame([(1, 1, 1), (0, 1, -1)], "delivery int, pair int, side int")
+        m = snapshots.first_cells(base, sides, 20)
+        cells = snapshots._cells(base, sides, m)
+        peeled = cells.groupBy("pair", "bucket").applyInPandas(snapshots._peeler(m), snapshots.PEELED)
+        assert peeled.filter("NOT ok").select("bucket").distinct().count() <= 2
+
+
+def test_keys_of_one_hash_are_told_apart(spark, monkeypatch):
+    """Key hashes that all collide: rows are known by the other hash, and classified by their keys."""
+    old = F.xxhash64
+    def flat(*cols):
+        return F.lit(7).cast("long") if isinstance(cols[0], str) and cols[0] == "key" and len(cols) == 1 else old(*cols)
+    monkeypatch.setattr(snapshots.F, "xxhash64", flat)
+    rows = _snapshot({f"k{i}": "x" for i in range(40)}, 1, 1) + _snapshot({f"k{i}": "y" if i == 3 else "x" for i in range(1, 41)}, 2, 1)
+    df = spark.createDataFrame(rows, "d date, k string, v string, at timestamp")
+    got = {(r["key"], r["change"]) for r in snapshots.snapshot_changes(df, "d", "k", "v", "at").collect()}
+    assert got == {("k0", "removed"), ("k40", "added"), ("k3", "changed")}
+
+
 def test_snapshot_of_one_delivery_and_of_none(spark):
     df = spark.createDataFrame(_snapshot({"a": "x"}, 1, 1), "d date, k string, v string, at timestamp")
     assert snapshots.snapshot_changes(df, "d", "k", "v", "at").count() == 0
