@@ -42,31 +42,40 @@ def resolve(edges: DataFrame, key: str, parent: str, with_path: bool = False) ->
     absent = durable(sought.join(given.select(F.col("k1").alias("a1"), F.col("k2").alias("a2")), ["a1", "a2"], "left_anti"), "absent")
     n_absent = absent.count()
     lost = absent.withColumn("lost", F.lit(True))
-    rows = given.filter("a1 IS NOT NULL")
-    pointed = lookup_join(rows, lost, ["a1", "a2"], "left", n_absent, n_nodes)
     extra = ["seg"] if with_path else []
-    roots = _union([given.filter("a1 IS NULL").select("k1", "k2", *extra), pointed.filter("lost").select("k1", "k2", *extra)])
-    done = [durable(roots.select("k1", "k2", F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.lit(0).cast("long").alias("d"), *extra), "roots")]
-    active = durable(pointed.filter("lost IS NULL").select("k1", "k2", "a1", "a2", F.lit(1).cast("long").alias("d"), *extra), "active")
-    n_active, rounds = active.count(), 0
+    pointed = lookup_join(given.filter("a1 IS NOT NULL"), absent.withColumn("ok", F.lit(True)), ["a1", "a2"], "left", n_absent, n_nodes)
+    begun = _union([given.filter("a1 IS NULL").withColumn("ok", F.lit(True)), pointed.withColumn("ok", F.coalesce("ok", F.lit(False)))])
+    own = [F.when(F.col("ok"), F.col(f"k{i}")).otherwise(F.col(f"a{i}")).alias(f"a{i}") for i in (1, 2)]
+    start = durable(begun.select("k1", "k2", *own, F.when(F.col("ok"), 0).otherwise(1).cast("long").alias("d"), "ok", *extra), "start")
+    done, active = [start.filter("ok").drop("ok")], start.filter("NOT ok").drop("ok")
+    n_active, size = _extent(active, with_path)
+    rounds = 0
     while n_active:
         rounds += 1
         flagged = _union([x.withColumn("ok", F.lit(True)) for x in done] + [active.withColumn("ok", F.lit(False))])
         look = flagged.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("d").alias("e"), "ok", *([F.col("seg").alias("above")] if with_path else []))
-        small = broadcast_if_small(active, n_active)
+        small = broadcast_if_small(active, n_active, size=size)
         met = look.join(small, ["a1", "a2"]) if small is not active else skew_join(active, look, ["a1", "a2"], "inner", n_active)
         step = durable(
             met.select("k1", "k2", F.col("b1").alias("a1"), F.col("b2").alias("a2"), (F.col("d") + F.col("e")).alias("d"), "ok", *([F.concat("above", "seg").alias("seg")] if with_path else [])),
             f"round{rounds}",
         )
-        n_left = step.filter("NOT ok").count()
+        rest = step.filter("NOT ok").drop("ok")
+        n_left, size = _extent(rest, with_path)
         if n_left == n_active:
             break
         done.append(step.filter("ok").drop("ok"))
-        active, n_active = step.filter("NOT ok").drop("ok"), n_left
+        active, n_active = rest, n_left
     return _union(done), active, rounds
 
 
+def _extent(active: DataFrame, with_path: bool) -> tuple[int, int]:
+    """Rows of ``active`` and the bytes of their paths."""
+    width = F.sum(F.octet_length(F.array_join("seg", "")) + 16 * F.size("seg")) if with_path else F.lit(0)
+    row = active.agg(F.count("*"), width).first()
+    return row[0], row[1] or 0
+
+
 def _named(edges: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """``found`` with the key itself, one row for each."""
     keys = edges.filter(F.col(key).isNotNull()).select(F.col(key).alias("node"), *digest(F.col(key), "k"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that may be broadcast after they were counted; at some 60 bytes a row this is well under 64 MB.
 MAX_BROADCAST_ROWS = 400_000
+#: Bytes of values in rows of varying width that may be broadcast after they were added up.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def session(master: str | None = None, app: str = "corpusloom", cores: int = 8, **conf: str) -> SparkSession:
@@ -70,6 +72,7 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a side whose row count is known and bounded; the planner joins the rest by shuffle."""
-    return F.broadcast(df) if rows <= most else df
+def broadcast_if_small(df: DataFrame, rows: int, most: int | None = None, size: int = 0) -> DataFrame:
+    """Hint a broadcast only for a side whose row count, and ``size`` in bytes where rows vary, are known and bounded; the
+    planner joins the rest by shuffle."""
+    return F.broadcast(df) if rows <= (MAX_BROADCAST_ROWS if most is None else most) and size <= MAX_BROADCAST_BYTES else df

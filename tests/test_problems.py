@@ -111,6 +111,20 @@ def test_hierarchy_matches_brute_force(spark):
     assert down == {(a, k, len(line) - 1 - i) for k, (_, _, line) in expected.items() if line for i, a in enumerate(line[:-1])}
 
 
+@pytest.mark.parametrize("limit", ["MAX_BROADCAST_ROWS", "MAX_BROADCAST_BYTES"])
+def test_hierarchy_without_broadcasts(spark, monkeypatch, limit):
+    """Beyond the bounds of rows, or of the bytes of paths, pointers meet by shuffle: the same result, with a hot parent too."""
+    for module in ("session", *(["operators.skew"] if limit == "MAX_BROADCAST_ROWS" else [])):
+        monkeypatch.setattr(f"corpusloom.{module}.{limit}", 0)
+    monkeypatch.setattr("corpusloom.operators.skew.HOT_ROWS", 20)
+    edges = EDGES + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(20)] + [(f"h{i}", "n7") for i in range(60)]
+    df = spark.createDataFrame(edges, "k string, p string")
+    expected = _brute(edges)
+    assert {r["node"]: (r["root"], r["depth"], r["path"]) for r in paths(df, "k", "p").collect()} == expected
+    if limit == "MAX_BROADCAST_ROWS":
+        assert {r["node"]: (r["root"], r["depth"]) for r in roots_and_depths(df, "k", "p").collect()} == {k: v[:2] for k, v in expected.items()}
+
+
 def test_hierarchy_of_nothing(spark):
     none = spark.createDataFrame([], "k string, p string")
     assert roots_and_depths(none, "k", "p").count() == 0
