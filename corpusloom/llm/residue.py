@@ -27,9 +27,12 @@ _NAME = r"[^\W\d][\w.\-]{0,40}"
 _GAP = re.compile(
     rf"\{{\{{[{{#/^&>]?\s*{_NAME}(?:\s*\|[^{{}}\n]{{0,40}})?\s*\}}\}}|\{{%-?\s*[^{{}}%\n]{{1,60}}?\s*-?%\}}|<%[=-]?\s*[^<>%\n]{{1,60}}?\s*%>|[$#]\{{\s*{_NAME}\s*\}}|\$\(\s*{_NAME}\s*\)"
     rf"|%%\s*{_NAME}\s*%%|(?<![\w%])%{_NAME}%(?![\w%])|(?<!\w)__[^\W\d_][\w.]{{0,40}}?__(?!\w)|@@\s*{_NAME}\s*@@|\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>|&lt;\s*{_NAME}\s*&gt;|(?<![\\\w}}{{$#]){{[^\W\d][\w.]{{2,40}}}}(?![\w{{}}])"
-    rf"|~{_NAME}~\s*\(replace\)|\[\s*[\w.\- ]{{2,40}}:\s*(?:tbd|tba|todo|tk)\s*\]|\[\s*(?:insert|enter|add|your|put)\s[^\[\]\n]{{1,50}}\]|\[\s*[\w.\- ]{{2,50}}\s(?:einf(?:ü|ue)gen|einsetzen|erg(?:ä|ae)nzen|here)\s*\]|<\s*[\w.\- ]{{2,50}}\s(?:here|hier|einf(?:ü|ue)gen)\s*>|<\s*(?:insert|your)\s[\w.\- ]{{2,50}}>|\[(?:name|vorname|nachname|titel|title|datum|date|ort|company|firma)\]",
+    rf"|~{_NAME}~\s*\(replace\)|\[\s*[\w.\- ]{{2,40}}:\s*(?:tbd|tba|todo|tk)\s*\]|\[\s*(?:insert|enter|add|your|put)\s[^\[\]\n]{{1,50}}\]|\[\s*[\w.\- ]{{2,50}}\s(?:einf(?:ü|ue)gen|einsetzen|erg(?:ä|ae)nzen|here)\s*\]|<\s*[\w.\- ]{{2,50}}\s(?:here|hier|einf(?:ü|ue)gen)\s*>|<\s*(?:insert|your)\s[\w.\- ]{{2,50}}>|\[(?:(?:first|last|full|middle|user|company|product|event|city|street|vor|nach|kunden|firmen|produkt)[ _-]?)?(?:name|titel|title|anrede|salutation|datum|date|ort|city|address|adresse|company|firma|betreff|subject|link|url|signature|unterschrift)(?: hier| here)?\]"
+    rf"|\*\|\s*[^\W\d][\w:.]*\s*\|\*|\{{\{{\s*\}}\}}|\[%-?\s*[^\[\]%\n]{{1,60}}?\s*-?%\]|<\?(?:php|=)[^<>\n]{{0,120}}\?>|\{{\$[a-z_][\w.>\[\]-]{{0,40}}\}}|(?<![\w{{]){{\d{{1,2}}}}(?![\w}}])|\b(?:[a-z]+_)*placeholder(?:_[a-z]+)+\b|\b(?:[a-z]+_)+placeholder\b",
     re.I,
 )
+#: Gaps that only capitals or their very form give away.
+_CAPITAL_GAP = re.compile(r"(?<![\w$])\$[A-Z][A-Z_]{2,}\b(?!\$)|(?<![\w%])(?<!\d )%(?:\d\$)?[sd](?![\w%])|\b(?:TT\.MM\.JJJJ|XX+\.XX+\.XX+|DD[./-]MM[./-]YYYY|MM[./-]DD[./-]YYYY)\b")
 _EMPTY = r"(?:undefined|null|none|nan|nil|\[object object\]|invalid date|n/a)"
 #: What programs write for a value they have not got.
 _HOLLOW = re.compile(
@@ -40,19 +43,21 @@ _HOLLOW = re.compile(
 #: The words of the customary filler text.
 _LATIN = "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 _FILLER = re.compile(
-    rf"(?:\b(?:{'|'.join(_LATIN.split())})\b\W*){{6,}}|^lorem ipsum\W*$|\bdies ist ein (?:blind|typo|muster|platzhalter)text\b|^(?:ein )?(?:blindtext|platzhaltertext|platzhalter|mustertext|placeholder|placeholder text|sample text|dummy text)\W*$"
+    rf"(?:\b(?:{'|'.join(_LATIN.split())})\b\W*){{6,}}|^lorem ipsum\W*$|\blorem ipsum dolor\b|\bsed ut perspiciatis unde\b|^(?:beispieltext|fülltext|musterinhalt|filler|filler text|test (?:text|content|inhalt|page|seite|post|beitrag))\W*$|^(?:dein|ihr|euer) (?:text|inhalt|titel) (?:hier|kommt hierhin|steht hier)\W*$|\bdies ist ein (?:blind|typo|muster|platzhalter)text\b|^(?:ein )?(?:blindtext|platzhaltertext|platzhalter|mustertext|placeholder|placeholder text|sample text|dummy text)\W*$"
     rf"|\b((?:sample|dummy|placeholder|filler) text)\b(?:\W+\1\b)+|\b(asdf|qwer|qwertz|qwerty|asd|jkl)\b(?:\W+\2\b)+|^(?:test\W+){{2,}}\d*\W*$|\btk ?tk\b|^(?:the )?(?:text|inhalt|bild|artikel|content|story|more) (?:folgt|to come|coming soon)\W*$"
     rf"|^hier (?:steht|kommt|folgt|erscheint) (?:sp(?:ä|ae)ter |bald |demn(?:ä|ae)chst )?(?:der|die|das|ihr|ein|dein) (?:\w+ )?(?:artikel|text|inhalt|titel|teaser|bild)\b|^bitte (?:hier )?(?:den |einen |ihren )?(?:text|inhalt|titel|bild) (?:einsetzen|einf(?:ü|ue)gen|erg(?:ä|ae)nzen|ersetzen)"
     rf"|^this is (?:a |some |the )?(?:placeholder|dummy|sample|filler|example) (?:copy|text|content|page|paragraph)\b|^replace (?:it|this|me|this text) with your own\b|\b(?:goes|comes) here\W*$|^(?:enter )?your [\w ]{{2,30}} here\W*$|^(?:add|type|insert|write) (?:your |some )?(?:text|content|headline|title) here\b"
     rf"|^(?:headline|subheadline|title|caption|body|teaser) (?:here|goes here|tbd)\W*$|^coming soon\W*$",
     re.I,
 )
-_REASON = "not found|forbidden|gone|bad gateway|bad request|internal server error|service (?:temporarily )?unavailable|gateway time-?out|unauthori[sz]ed|too many requests|request time-?out|method not allowed|access denied|permission denied|zugriff verweigert|nicht gefunden|seite nicht gefunden|page not found|connection (?:refused|reset|timed out)|request timed out"
+_REASON = "not found|proxy error|server error|serverfehler|interner serverfehler|unavailable|dienst nicht verf(?:ü|ue)gbar|nicht verf(?:ü|ue)gbar|zeit(?:ü|ue)berschreitung|verbotener zugriff|forbidden|gone|bad gateway|bad request|internal server error|service (?:temporarily )?unavailable|gateway time-?out|unauthori[sz]ed|too many requests|request time-?out|method not allowed|access denied|permission denied|zugriff verweigert|nicht gefunden|seite nicht gefunden|page not found|connection (?:refused|reset|timed out)|request timed out"
 #: How servers, programs and gatekeepers report that there is no page. Each has to begin the sentence.
 _ERROR = re.compile(
-    rf"^(?:(?:http(?:/\d(?:\.\d)?)?|error|fehler|status)(?: code)?\s*[:#(–—-]?\s*[45]\d\d\)?\s*(?:[:–—-].*|\W*|(?:{_REASON}).*)$|[45]\d\d\s*[:–—|-]?\s*(?:error|fehler|{_REASON})\b|(?:{_REASON})\W*$"
+    rf"^(?:(?:http )?(?:http(?:/\d(?:\.\d)?)?|error|fehler|status)(?: code)?\s*[:#(–—-]?\s*[45]\d\d\)?\s*(?:[:–—-].*|\W*|(?:{_REASON}).*)$|[45]\d\d\s*[:–—|-]?\s*(?:error|fehler|{_REASON})\b|(?:{_REASON})\W*(?:[([]?(?:http|error|fehler|code)?[ :#-]*[45]\d\d[)\]]?)?\W*$"
     rf"|(?:oops|whoops|uh-?oh|hoppla|ups)\b[\s\S]{{0,20}}(?:wrong|error|schief|fehler|broke|not find|problem)|something went wrong\b|(?:leider )?(?:es )?(?:ist|trat) (?:leider )?ein (?:\w+ )?fehler (?:aufgetreten|auf)\b|(?:leider )?ist (?:etwas|da etwas) schief|etwas ist schief|an? (?:unexpected |unknown |internal |fatal )?error (?:has )?occurred"
     rf"|(?:sorry[,!.]? |we(?:'re| are) sorry[,!.]? (?:but )?|leider )?(?:the|this|that|die|diese|dieser|der|our|unser|wir konnten die|we (?:can(?:'t|not)|could(?:n't| not)) find (?:the|that)) (?:angeforderte |gesuchte |gew(?:ü|ue)nschte |requested )?(?:page|content|post|article|thread|link|url|site|seite|artikel|beitrag|inhalt)\b(?: (?:that|which|you(?:'re| are| have|'ve)?|sie|die|looking|for|requested|angefordert(?:e|en)?|suchen|haben|ist|wurde|is|was|has|cannot|can't|could|does|doesn't|no|longer|leider|nicht|mehr|be|been|not|isn't|wasn't|may|existiert|konnte|kann))*[, ]+(?:found|exist|exists|available|removed|deleted|moved|unavailable|gefunden|verf(?:ü|ue)gbar|gel(?:ö|oe)scht|existiert|vorhanden|werden)\b"
+    rf"|(?:sorry[,!.]? |it (?:looks|seems) like )?(?:we|i) (?:can(?:'t|not|’t)|could(?:n't| not|n’t)|were unable to) (?:seem to )?(?:find|locate) (?:what you(?:'|’| a)re looking for|(?:the|that|this|your) (?:\w+ )?(?:page|content|post|article|link|url|site)\b)|(?:sorry[,!.]? )?you have been blocked\b|attention required\b|just a moment\W*$|(?:cloudflare )?ray id\b|whitelabel error page|application error\b|err_[a-z_]+\b|(?:apache|nginx|openresty|iis)/\d[\d.]*|this (?:page|site) (?:isn't|isn’t|is not) working"
+    rf"|the requested (?:url|resource|page|address)\b.{{0,80}}(?:not found|not available|could not|rejected|removed)|the server (?:encountered|returned|is (?:temporarily )?(?:unable|overloaded|busy)|didn't respond|did not respond)|(?:die|der) (?:angeforderte|gew(?:ü|ue)nschte) \w+ (?:konnte nicht|wurde nicht|ist nicht)|(?:(?:this|das|dieses) )?(?:video|content|tweet|post|inhalt) (?:is |ist )?(?:un|nicht )(?:available|verf(?:ü|ue)gbar)|wartungsarbeiten\W*$|wir f(?:ü|ue)hren (?:gerade|derzeit) wartungsarbeiten|(?:we(?:'re|’re| are)|site is) (?:currently |temporarily )?(?:down|undergoing) (?:for )?(?:scheduled )?maintenance"
     rf"|the link (?:you followed )?(?:may|might) be broken|(?:this|the|der|dieser) (?:service|server|site|dienst|website|seite) (?:is|was|ist|could not|cannot|encountered|has)\b.{{0,30}}(?:unavailable|unable to|overloaded|maintenance|nicht (?:verf(?:ü|ue)gbar|erreichbar)|(?:ü|ue)berlastet|wartung|complete your request|internal error|misconfiguration|down\b)|service (?:is )?(?:temporarily )?unavailable|down for maintenance|wegen wartung"
     rf"|slow down and retry|please (?:try again|come back|retry|reload|refresh)\b|(?:bitte )?versuchen sie es (?:sp(?:ä|ae)ter|erneut|noch)|bitte (?:versuchen|laden) sie\b|you (?:don't|do not) have (?:the )?(?:permission|access|rights)|sie haben keine (?:berechtigung|rechte)|(?:access|zugriff) (?:to this \w+ )?(?:is |has been |wurde |ist )?(?:denied|blocked|verweigert|gesperrt)"
     rf"|checking (?:your browser|if the site connection)|(?:please )?(?:verify|confirm|prove)(?: that)? you(?:'re| are) (?:a )?(?:human|not a robot)|(?:please )?complete the (?:captcha|security check)|(?:bitte )?best(?:ä|ae)tigen sie,? dass sie (?:ein mensch|kein roboter)|are you a (?:robot|human)\b|we(?:'ve| have) detected unusual traffic|unusual traffic from|ddos protection|one more step\W*$|performing security verification"
@@ -62,8 +67,8 @@ _ERROR = re.compile(
 )
 #: Notices that a page shows nothing without scripts.
 _SCRIPT = re.compile(
-    r"<noscript\b|^(?:please |you (?:need|have|must|will need) (?:to )?|to (?:use|view|see|continue|read).{0,40}|bitte )?(?:enable|activate|turn on|switch on|allow) (?:javascript|java script|scripts?|scripting|js)\b|^(?:it (?:looks|seems|appears).{0,20}|we(?:'ve| have) (?:detected|noticed) (?:that )?|your browser has )?(?:javascript|java script|scripts?|scripting|js)(?: \w+){0,2}? (?:is|are|must be|has to be|have to be|needs? to be|seems? to be|muss|m(?:ü|ue)ssen|ist|sind|wurde)(?: currently| aktuell| derzeit)? (?:disabled|blocked|required|not enabled|not supported|turned off|off|allowed|enabled|deaktiviert|blockiert|ausgeschaltet|erforderlich|aktiviert|n(?:ö|oe)tig|notwendig|abgeschaltet|eingeschaltet)"
-    r"|^(?:\w+[ '-]){0,4}?\w+ (?:needs|requires|require|ben(?:ö|oe)tigt|ben(?:ö|oe)tigen|erfordert|braucht) (?:javascript|java script|scripts|skripte|scripting)\W*$|^(?:\w+[ '-]){0,4}?\w+ (?:needs|requires|ben(?:ö|oe)tigt|erfordert) (?:javascript|scripts|skripte) (?:to|um|zum|in|for|f(?:ü|ue)r)\b|^bitte (?:aktivieren|erlauben|schalten) sie (?:\w+ )?(?:javascript|skripte)|^(?:javascript|skripte) (?:bitte )?(?:aktivieren|einschalten|erlauben)"
+    r"<noscript\b|^(?:please |you (?:need|have|must|will need) (?:to )?|to (?:use|view|see|continue|read).{0,40}|bitte )?(?:enable|activate|turn on|switch on|allow) (?:(?:\w+ ){0,3}?(?:and|&|or) )?(?:javascript|java script|scripts?|scripting|js)\b|^(?:it (?:looks|seems|appears).{0,20}|we(?:'ve| have) (?:detected|noticed) (?:that )?|your browser has )?(?:javascript|java script|scripts?|scripting|js)(?: \w+){0,2}? (?:is|are|must be|has to be|have to be|needs? to be|seems? to be|muss|m(?:ü|ue)ssen|ist|sind|wurde)(?: currently| aktuell| derzeit)? (?:disabled|blocked|required|not enabled|not supported|turned off|off|allowed|enabled|deaktiviert|blockiert|ausgeschaltet|erforderlich|aktiviert|n(?:ö|oe)tig|notwendig|abgeschaltet|eingeschaltet)"
+    r"|^(?:\w+[ '-]){0,4}?\w+ (?:needs|requires|require|ben(?:ö|oe)tigt|ben(?:ö|oe)tigen|erfordert|braucht) (?:(?:\w+ ){0,3}?(?:and|und|&) )?(?:javascript|java script|scripts|skripte|scripting|js)\W*$|^(?:\w+[ '-]){0,4}?\w+ (?:needs|requires|ben(?:ö|oe)tigt|erfordert) (?:javascript|scripts|skripte|js) (?:to|um|zum|in|for|f(?:ü|ue)r)\b|^bitte (?:aktivieren|erlauben|schalten) sie (?:(?:\w+ ){0,3}?(?:und|oder) |\w+ )?(?:javascript|skripte)|^bitte (?:javascript|java script|skripte|js)\b.{0,30}(?:aktivieren|einschalten|erlauben|zulassen)|^(?:die|diese|unsere) \w+ (?:funktioniert|l(?:ä|ae)uft) (?:nur|nicht) (?:mit|ohne) (?:aktivierte\w? )?(?:javascript|skripte|js)\b|^(?:you need|you must|you have) .{0,20}(?:javascript|js) (?:enabled|turned on|switched on)|^(?:javascript|skripte) (?:bitte )?(?:aktivieren|einschalten|erlauben)"
     r"|^your browser (?:does not|doesn't|cannot|can't) (?:support|run) (?:javascript|scripts?)|^ihr browser (?:unterst(?:ü|ue)tzt|kann) (?:kein|keine) (?:javascript|skripte)|^(?:ohne|without) (?:aktiviertes? )?(?:javascript|scripts|skripte|scripting) (?:kann|k(?:ö|oe)nnen|funktioniert|ist|l(?:ä|ae)sst|this|the|you|some)\b|^switch to a supported browser\b|^(?:turn|switch) it on in your browser|^some parts of [\w ]{2,40} (?:will|may|do) not work\b",
     re.I,
 )
@@ -77,9 +82,9 @@ _LEAD = re.compile(r"^(?:[\s>*•·–—#|-]+|@[\w.-]+:\s*|https?://\S+\s*|(?:<
 #: Cheap tests before a search in the midst of a sentence. Each follows from the pattern it stands before: a gap begins with
 #: one of the signs, a hollow value is one of the words of _EMPTY, and a filler that need not begin the sentence holds one of
 #: the words or six of the customary ones. What has to begin the sentence is matched there, without a test before.
-_SIGN = re.compile(r"[{\[~$<%&]|__|@@")
+_SIGN = re.compile(r"[{\[~$<%&]|__|@@|\*\||placeholder", re.I)
 _HOLLOW_WORDS = ("undefined", "null", "none", "nan", "nil", "object object", "invalid date", "n/a")
-_FILLER_WORDS = ("dies ist ein ", "sample text", "dummy text", "placeholder text", "filler text", "asd", "qwer", "jkl", "tktk", "tk tk", " here")
+_FILLER_WORDS = ("lorem ipsum dolor", "sed ut perspiciatis", "dies ist ein ", "sample text", "dummy text", "placeholder text", "filler text", "asd", "qwer", "jkl", "tktk", "tk tk", " here")
 _LATIN_WORDS, _TOKEN = frozenset(_LATIN.split()), re.compile(r"\w+")
 
 
@@ -103,6 +108,8 @@ def evidence(line: str) -> str | None:
         low = _folded(s)
         if _SIGN.search(s) and any(not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45) for m in _GAP.finditer(s)):
             return "gap"
+        if any(not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45) for m in _CAPITAL_GAP.finditer(s)):
+            return "gap"
         if any(w in low for w in _HOLLOW_WORDS) and _HOLLOW.search(s):
             return "gap"
         if (m := _FILLER.match(s) or (_may_be_filler(low) and _FILLER.search(s))) and not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45):

@@ -104,3 +104,75 @@ def test_tests_before_the_patterns_lose_nothing(name):
         passes = {"_GAP": lambda: residue._SIGN.search(s), "_HOLLOW": lambda: any(w in low for w in residue._HOLLOW_WORDS), "_FILLER": lambda: pattern.match(s) or residue._may_be_filler(low), "_SCRIPT": lambda: pattern.match(s) or "<noscript" in low, "_ERROR": lambda: pattern.match(s)}
         assert passes[name](), s
     assert n > 5_000
+
+
+@pytest.mark.parametrize(
+    "line, kind",
+    [
+        ("Dear [First Name], thank you for your order.", "gap"),
+        ("Hi $NAME, your parcel is on its way", "gap"),
+        ("{0} comments", "gap"),
+        ("Dear FNAME_PLACEHOLDER", "gap"),
+        ("502 – Proxy Error", "error"),
+        ("Seite nicht gefunden (404). Zur Startseite", "error"),
+        ("Oops! We can't seem to find the page you're looking for.", "error"),
+        ("Please enable cookies and JavaScript to continue", "script"),
+        ("This site requires JS.", "script"),
+        ("Lorem ipsum dolor sit amet", "filler"),
+        ("Hello *|FNAME|*, welcome back", "gap"),
+        ("Hello %s, you have %d new messages", "gap"),
+        ("Sehr geehrte [Anrede], anbei", "gap"),
+        ("Geburtsdatum: TT.MM.JJJJ", "gap"),
+        ("<?php echo $title; ?>", "gap"),
+        ("[% article.title %]", "gap"),
+        ("Welcome {$user.name}", "gap"),
+        ("500 Internal Server Error", "error"),
+        ("Interner Serverfehler", "error"),
+        ("HTTP ERROR 503", "error"),
+        ("The requested URL /a/b was not found on this server.", "error"),
+        ("nginx/1.18.0", "error"),
+        ("Whitelabel Error Page", "error"),
+        ("Sorry, you have been blocked", "error"),
+        ("Just a moment...", "error"),
+        ("Application error: a client-side exception has occurred", "error"),
+        ("Wir führen gerade Wartungsarbeiten durch.", "error"),
+        ("This page isn't working", "error"),
+        ("You need to have JavaScript enabled in your browser", "script"),
+        ("Bitte JavaScript im Browser aktivieren", "script"),
+        ("Diese Seite funktioniert nicht ohne JavaScript", "script"),
+        ("Bitte aktivieren Sie Cookies und JavaScript.", "script"),
+        ("Page not found | 404", "error"),
+        ("Sed ut perspiciatis unde omnis iste natus error", "filler"),
+        ("Beispieltext", "filler"),
+        ("Dein Text hier", "filler"),
+        ("The server encountered an internal error or misconfiguration", "error"),
+        ("Video unavailable", "error"),
+        ("Die angeforderte Seite konnte nicht gefunden werden.", "error"),
+        ("It looks like we couldn't find the page you requested", "error"),
+        ("Lorem ipsum is what printers call filler text, the column reminds us.", None),
+        ("Room 12 of the town hall is not found easily, visitors report.", None),
+        ("0% agreed.", None),
+        ("The council site answered with error 500 for a whole afternoon.", None),
+        ("Our crawler skips pages that say page not found, of which we met 12 in March.", None),
+        ("Der Blindtext im Entwurf des Radwegeplans wurde in der Sitzung zum Thema.", None),
+        ("The prompt has two gaps, {{text}} and {{language}}, and both are filled before the model sees it.", None),
+        ("The workshop on undefined behaviour of the scraper is on Friday.", None),
+        ("Fehlende Werte bleiben fehlend und werden nie null.", None),
+        ("[sic] and [...] are kept as the outlet wrote them.", None),
+        ("The ferry costs $12 and A$AP played, 50 %s of it", None),
+        ("He learned JavaScript at school and now teaches it.", None),
+        ("404 people came, 502 stayed away.", None),
+        ("In the template file a name in double braces such as {{headline}} is replaced by the exporter.", None),
+        ("We could not find the money for the page of history.", None),
+        ("The server brought the soup.", None),
+        ("Wartungsarbeiten am Hafentunnel beginnen im Mai.", None),
+        ("The museum is not available on Mondays.", None),
+        ("Just a moment ago the mayor resigned.", None),
+        ("Attention was required of everyone.", None),
+        ("Die Seite des Flusses, an der wir wohnen, wurde nicht gebaut.", None),
+        ("The proxy error in the vote count was corrected.", None),
+    ],
+)
+def test_evidence_in_other_words(line, kind):
+    """Lines that stand in none of the tables, and sentences that only write about such things."""
+    assert residue.evidence(line) == kind
