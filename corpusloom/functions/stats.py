@@ -51,3 +51,8 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(F.lit(0.0))
+
+
+def time_left(elapsed: Column, processed: Column, total: Column) -> Column:
+    """Seconds to go at the running average of those processed; NULL before the first and after the last."""
+    return F.when((processed > 0) & (processed < total), elapsed / processed * (total - processed))

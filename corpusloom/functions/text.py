@@ -97,3 +97,23 @@ def preview(c: Column, n: int = 60) -> Column:
 def percent_interval(p: Column, low: Column, high: Column) -> Column:
     """C16: '12.3 % (10.1-14.9 %)', 'n/a' for NULL."""
     return F.coalesce(F.when(p.isNotNull(), F.format_string("%.1f %% (%.1f-%.1f %%)", p * 100, low * 100, high * 100)), F.lit("n/a"))
+
+
+def frame_summary(c: Column) -> Column:
+    """One line about a sampling frame (JSON): 'uniform random', or which filters are set.
+
+    A frame that cannot be read says so. Days are written yyyy-MM-dd (UTC), whatever the device would show.
+    """
+    frame = F.from_json(c, "kind string, outletPK long, dateFrom double, dateTo double, minThreadReplies long, maxThreadReplies long")
+    known = frame_kind(c)
+    day = lambda x: F.date_format(F.timestamp_seconds(x + 978_307_200), "yyyy-MM-dd")
+    def between(low: Column, high: Column, from_: str, until: str, unit: str) -> Column:
+        both = F.when(low.isNotNull() & high.isNotNull(), F.concat(low, F.lit("–"), high, F.lit(unit)))
+        return F.coalesce(both, F.concat(F.lit(from_), low, F.lit(unit)), F.concat(F.lit(until), high, F.lit(unit)))
+    parts = F.array_compact(F.array(
+        F.concat(F.lit("outlet #"), frame["outletPK"].cast("string")),
+        between(day(frame["dateFrom"]), day(frame["dateTo"]), "from ", "until ", ""),
+        between(frame["minThreadReplies"].cast("string"), frame["maxThreadReplies"].cast("string"), "≥", "≤", " replies/thread"),
+    ))
+    filtered = F.when(F.size(parts) > 0, F.concat(F.lit("filtered: "), F.array_join(parts, ", "))).otherwise(F.lit("filtered (no filters set)"))
+    return F.when(known == "uniformRandom", F.lit("uniform random")).when(known == "filtered", filtered).otherwise(F.lit("unknown frame (failed to decode)"))

@@ -97,9 +97,9 @@ def annotated(pending: DataFrame, key: str, text: str, endpoint: str, least: int
 
 
 def tfidf_logistic(train: DataFrame, text: str, label: str, features: int = 1 << 14, ridge: float = 0.01):
-    """TF-IDF of words and word pairs with sublinear counts, and a class-balanced logistic regression; a fitted model.
+    """TF-IDF of words and word pairs, and a class-balanced logistic regression; a fitted model.
 
-    Numbers differ from other libraries in smoothing, hashing and solver.
+    Counts are taken as they are, not as 1 + log; numbers differ from other libraries in that, smoothing, hashing and solver.
     """
     share = train.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.5
     weighted = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(0.5 / max(share, 1e-9))).otherwise(F.lit(0.5 / max(1 - share, 1e-9)))).withColumn("_y", F.col(label).cast("double"))

@@ -82,6 +82,11 @@ def preferred(core: DataFrame, hard: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.max("tag").alias("tag"))
 
 
+def hard_first(entries: DataFrame, key: str, tag: str = "tag") -> DataFrame:
+    """Entries with the tag 'hard' before all others, each part by ``key``."""
+    return entries.orderBy(F.coalesce(F.col(tag) != "hard", F.lit(True)), key)
+
+
 def merged_entries(fresh: DataFrame, existing: DataFrame, key: str, curated: list[str]) -> DataFrame:
     """Fresh entries with the curated fields of existing ones kept."""
     kept = existing.select(key, *[F.col(c).alias(f"_{c}") for c in curated])

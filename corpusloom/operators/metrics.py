@@ -28,25 +28,38 @@ def roc_auc(rows: DataFrame, score: str, label: str, by: list[str] = []) -> Data
     return sums.select(*by, F.col("p").alias("n_pos"), neg.alias("n_neg"), F.when((F.col("p") > 0) & (neg > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).alias("auc"))
 
 
-def thresholds(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """True and false positives at each distinct score, from the highest down."""
+def thresholds(rows: DataFrame, score: str, label: str, by: list[str] = []) -> DataFrame:
+    """(``by``, threshold, pos, k, tp, flagged): true and false positives at each distinct score, from the highest down."""
     y = F.col(label).cast("int")
-    per = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(y).alias("pos"), F.count("*").alias("k"))
-    return with_running(per, [F.desc(score)], {"tp": "pos", "flagged": "k"}).select(F.col(score).alias("threshold"), "pos", "k", "tp", "flagged")
+    per = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(y).alias("pos"), F.count("*").alias("k"))
+    run = with_running(per, [*by, F.desc(score)], {"tp": "pos", "flagged": "k"})
+    if by:
+        first = run.groupBy(*by).agg(F.min(F.col("tp") - F.col("pos")).alias("_t"), F.min(F.col("flagged") - F.col("k")).alias("_f"))
+        run = run.join(F.broadcast(first), by).withColumns({"tp": F.col("tp") - F.col("_t"), "flagged": F.col("flagged") - F.col("_f")})
+    return run.select(*by, F.col(score).alias("threshold"), "pos", "k", "tp", "flagged")
+
+
+def average_precision_of(t: DataFrame, by: list[str] = []) -> DataFrame:
+    """M20 from thresholds()."""
+    return t.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / F.col("flagged")).alias("a"), F.sum("pos").alias("p")).select(*by, share(F.col("a"), F.col("p")).alias("average_precision"))
 
 
 def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the precision-recall curve as a step sum over distinct thresholds; NULL without positives."""
-    t = thresholds(rows, score, label)
-    return t.agg(F.sum(F.col("pos") * F.col("tp") / F.col("flagged")).alias("a"), F.sum("pos").alias("p")).select(share(F.col("a"), F.col("p")).alias("average_precision"))
+    return average_precision_of(thresholds(rows, score, label))
+
+
+def best_f1_of(t: DataFrame, by: list[str] = []) -> DataFrame:
+    """M21 from thresholds()."""
+    all_ = t.withColumn("_k", F.lit(0)).groupBy(*by, "_k").agg(F.sum("pos").alias("p"))
+    scored = t.withColumn("_k", F.lit(0)).join(F.broadcast(all_), [*by, "_k"]).withColumn("f1", F.when(F.col("flagged") + F.col("p") > 0, 2 * F.col("tp") / (F.col("flagged") + F.col("p"))))
+    best = scored.groupBy(*by).agg(F.max(F.struct("f1", (-F.col("threshold")).alias("below"))).alias("best"))
+    return best.select(*by, F.col("best.f1").alias("f1"), (-F.col("best.below")).alias("threshold"))
 
 
 def best_f1(rows: DataFrame, score: str, label: str) -> DataFrame:
     """The best F1 and its threshold, the lowest of equals."""
-    t = thresholds(rows, score, label)
-    all_ = t.agg(F.sum("pos").alias("p")).withColumn("_k", F.lit(0))
-    scored = t.withColumn("_k", F.lit(0)).join(F.broadcast(all_), "_k").withColumn("f1", F.when(F.col("flagged") + F.col("p") > 0, 2 * F.col("tp") / (F.col("flagged") + F.col("p"))))
-    return scored.agg(F.max(F.struct("f1", -F.col("threshold"))).alias("best")).select(F.col("best.f1").alias("f1"), (-F.element_at(F.array("best.col2"), 1)).alias("threshold"))
+    return best_f1_of(thresholds(rows, score, label))
 
 
 def auc_by_language(rows: DataFrame, score: str, label: str, lang: str) -> DataFrame:

@@ -47,6 +47,14 @@ def flat_order(edges: DataFrame, key: str, parent: str, created: str) -> DataFra
     return rank_within(line, ["root"], ["line"], "position").drop("line")
 
 
+def of_class(flat: DataFrame, classes: DataFrame, wanted: str) -> DataFrame:
+    """the posts of a flat order whose class is ``wanted``, at their place in the whole order.
+
+    The filter comes after the walk: a post of another class hides itself and none of its children. classes: (node, class).
+    """
+    return flat.join(classes.filter(F.col("class") == wanted).select("node"), "node", "left_semi")
+
+
 def layout(flat: DataFrame, edges: DataFrame, key: str, parent: str) -> DataFrame:
     """T5: x and y of each post: leaves LEAF_WIDTH apart in depth-first order, parents centred, LEVEL a depth."""
     inner = edges.select(F.col(parent).alias("node")).filter("node IS NOT NULL").distinct()

@@ -203,7 +203,11 @@ def _(v):
     return x.select("post", "class", F.when(F.col("class") == F.col("other"), F.col("severity")).alias("severity"))
 
 
-@query("C23_uniform_numbers")
+@query("C23_uniform_numbers", """WITH g AS (SELECT i, (7::UHUGEINT + (i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM range(1000) t(i)),
+a AS (SELECT i, (xor(z::UBIGINT, (z // 1073741824)::UBIGINT)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM g),
+b AS (SELECT i, (xor(z::UBIGINT, (z // 134217728)::UBIGINT)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM a),
+c AS (SELECT i, xor(z::UBIGINT, (z // 2147483648)::UBIGINT)::HUGEINT AS z FROM b)
+SELECT i AS "at", CAST(CASE WHEN z >= 9223372036854775808 THEN z - 18446744073709551616 ELSE z END AS BIGINT) AS value FROM c""")
 def _(v):
     return v.spark.createDataFrame(sampling.uniform_numbers(7, 1000))
 
