@@ -85,6 +85,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evalset"))
 
 
+def p8_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evalset"))
+    return found.select("doc_id", "item_id", F.round("containment", 6).alias("containment"))
+
+
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of all containers: every document once, no container too full, none cut that fits, no token lost."""
+    sized = durable(packing.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text"), "sized")
+    placed = durable(packing.pack_documents(sized), "places")
+    fullest = placed.filter("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.max("n").alias("fullest"))
+    per = placed.groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_placed")).join(sized.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens")), "doc_id", "full")
+    met = per.agg(F.count("*").alias("n_docs"), F.bool_and(F.col("n_placed") == F.col("n_tokens")).alias("whole"), F.bool_and((F.col("n_pieces") == 1) | (F.col("n_tokens") > packing.CAPACITY)).alias("uncut"))
+    return met.withColumn("_k", F.lit(0)).join(F.broadcast(fullest.withColumn("_k", F.lit(0))), "_k").select("n_docs", "whole", "uncut", (F.col("fullest") <= packing.CAPACITY).alias("none_too_full"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -93,7 +108,20 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id", F.array_join("kinds", ",").alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_exact_ranks, p2_found, p2_agreement, p2_annotators, p5_found, p5_rates, p7_containers, p8_found, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_exact_ranks, p2_found, p2_agreement, p2_annotators, p5_found, p5_rates, p7_containers, p7_places, p8_found, p8_contained, p9_found, p9_kinds)}
+#: The words of a text as DuckDB finds them, near enough for the tables: tags, links, entities, soft signs and letter case.
+_WORDS = "regexp_extract_all(lower(nfc_normalize(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&quot;', ' '), '&#39;', ' '), '&amp;', ' '), '<[/!?]?[a-zA-Z][^<>]*>', ' ', 'g'), '!?\\[([^\\[\\]]*)\\]\\([^()\\s]*\\)', ' \\1 ', 'g'), '[\\x{00ad}\\x{200b}-\\x{200d}\\x{2060}\\x{feff}]', '', 'g'))), '[\\p{L}\\p{N}]+')"
+
 SQL = {
     "p1_exact_ranks": "SELECT coalesce(zaccount, -1) AS zaccount, count(*) AS n_values, true AS complete, true AS p05_within, true AS p50_within, true AS p90_within, true AS p99_within FROM zpost WHERE zcreatedat IS NOT NULL AND NOT isnan(zcreatedat) GROUP BY 1",
+    "p7_places": "SELECT count(DISTINCT doc_id) AS n_docs, true AS whole, true AS uncut, true AS none_too_full FROM documents",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_WORDS} AS w FROM evalset WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+eg AS (SELECT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    "p8_contained": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_WORDS} AS w FROM evalset WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 12)),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM e WHERE len(w) >= 12)),
+n AS (SELECT item_id, count(*) AS n FROM eg GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS k FROM dg JOIN eg USING (g) GROUP BY 1, 2)
+SELECT doc_id, item_id, round(k / n, 6) AS containment FROM m JOIN n USING (item_id) WHERE k >= 0.8 * n""",
 }

@@ -78,9 +78,60 @@ def test_eleven_words_are_no_leak_and_empty_sides(spark):
     assert leakage.leaked_items(docs, items.limit(0)).count() == 0
 
 
-def test_equal_windows_have_equal_minhashes():
+def test_equal_passages_have_equal_minhashes():
     rng = random.Random(2)
     w = rng.choices(WORDS, k=500)
-    m, _ = leakage.windows(w)
-    again, _ = leakage.windows(["q", *w[100:112], "z"])
-    assert m[100] == again[1] and len(set(m.tolist())) < 0.4 * len(m)
+    whole, part = leakage.signatures(w), leakage.signatures(["q", *w[100:112], "z"])
+    assert list(whole) == [12, 24, 48, 96] and list(part) == [12]
+    assert len(set(part[12].tolist()) & set(whole[12].tolist())) >= 1 and len(whole[12]) < 0.4 * 500
+    assert len(whole[48]) < len(whole[24]) < 3 * len(whole[12])
+    alone = leakage.signatures(w[200:248])
+    assert all(set(alone[n].tolist()) <= set(whole[n].tolist()) for n in (12, 24, 48))
+    assert leakage.signatures([]) == leakage.signatures(w[:11]) == leakage.signatures(w, ()) == {}
+
+
+def test_sliding_least():
+    import numpy as np
+
+    a = np.random.default_rng(1).integers(0, 1 << 60, 200).astype(np.uint64)
+    for width in (1, 2, 3, 8, 20, 44, 92, 200):
+        assert leakage._sliding_least(a, width).tolist() == [a[i : i + width].min() for i in range(201 - width)]
+
+
+def test_items_of_all_sizes(spark):
+    """Items of 12 to 300 words, of which twelve, some or all stand in long documents: against brute force."""
+    rng = random.Random(7)
+    items = [(i, " ".join(rng.choices(WORDS, k=n))) for i, n in enumerate([12, 13, 20, 24, 31, 48, 60, 96, 120, 200, 300] * 2)]
+    docs = []
+    for d in range(110):
+        own = items[d % len(items)][1].split()
+        n = rng.choice([12, min(len(own), 30), len(own)])
+        at = rng.randint(0, len(own) - n)
+        w = rng.choices(WORDS, k=2000)
+        docs.append((d, " ".join(w[:900] + own[at : at + n] + w[900:])))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert {tuple(r) for r in leakage.leaked_items(df, it).collect()} == want and len(want) >= 110
+
+
+def test_items_with_changed_words_are_contained(spark):
+    """Every tenth to fifteenth word is another, so that twelve in sequence hardly remain; and how many of them are found."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choices(WORDS, k=[48, 96, 150, 300][i % 4]))) for i in range(60)]
+    docs, want = [], {}
+    for i, t in items:
+        own = t.split()
+        for j in range(rng.randint(5, 25), len(own), 30):
+            own[j] = "other"
+        docs.append((i, " ".join(rng.choices(WORDS, k=700) + own + rng.choices(WORDS, k=700))))
+    shingles = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    for d, x in docs:
+        for i, t in items:
+            s = shingles(t.split())
+            share = len(s & shingles(x.split())) / len(s)
+            if share >= 0.8:
+                want[d, i] = share
+    df = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string").withColumn("containment", F.lit("clash")).repartition(5)
+    got = {(r["doc_id"], r["item_id"]): r["containment"] for r in leakage.contained_items(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in got) and len(want) >= 50 and len(got) >= 0.95 * len(want)
+    assert leakage.contained_items(df.limit(0), df.withColumnRenamed("doc_id", "item_id")).count() == 0
