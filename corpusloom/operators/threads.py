@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.hierarchy import paths
 from corpusloom.operators.ranks import rank_within
+from corpusloom.operators.skew import skew_join
 
 #: The layout's width of a leaf, height of a level, and upper margin.
 LEAF_WIDTH, LEVEL, MARGIN = 28, 48, 33
@@ -35,16 +36,16 @@ def heights(p: DataFrame) -> DataFrame:
 def flat_order(edges: DataFrame, key: str, parent: str, created: str) -> DataFrame:
     """Depth-first position of each post in its tree; siblings by (created, key). Cycles have no position.
 
-    A post's sort path joins those of its ancestors, so that one sort of each tree gives the order. ``edges`` has one row
-    for each key.
+    Nodes go by their time and key in one string while paths are doubled, so that a path is its own sort key and no path is
+    ever taken apart. ``edges`` has one row for each key.
     """
-    own = F.format_string("%020.3f", F.coalesce(F.col(created), F.lit(0.0)) + F.lit(1e12))
-    tagged = edges.select(F.col(key).alias("k"), F.col(parent).alias("p"), own.alias("t"))
-    found = paths(tagged, "k", "p").filter("depth >= 0")
-    steps = found.select("node", "root", "depth", F.posexplode("path").alias("at", "k")).join(tagged.select("k", "t"), "k")
-    sort = steps.groupBy("node", "root", "depth").agg(F.array_sort(F.collect_list(F.struct("at", "t", "k"))).alias("s"))
-    line = sort.select("node", "root", "depth", F.array_join(F.transform("s", lambda x: F.concat(x["t"], F.lit("|"), x["k"])), "\x01").alias("line"))
-    return rank_within(line, ["root"], ["line"], "position").drop("line")
+    own = F.format_string("%020.3f|%s", F.coalesce(F.col(created), F.lit(0.0)) + F.lit(1e12), F.col(key))
+    tagged = edges.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(parent).alias("p"), own.alias("id"))
+    met = skew_join(tagged, tagged.select(F.col("k").alias("p"), F.col("id").alias("pid")), ["p"], "left")
+    found = paths(met.select("id", "pid"), "id", "pid").filter("depth >= 0")
+    placed = rank_within(found.select("node", "root", "depth", F.array_join("path", "\x01").alias("line")), ["root"], ["line"], "position")
+    bare = lambda c: F.expr(f"substring({c}, locate('|', {c}) + 1)").alias(c)
+    return placed.select(bare("node"), bare("root"), "depth", "position")
 
 
 def of_class(flat: DataFrame, classes: DataFrame, wanted: str) -> DataFrame:
