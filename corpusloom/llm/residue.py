@@ -8,6 +8,7 @@ evidence.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ _HOLLOW = re.compile(
 #: The words of the customary filler text.
 _LATIN = "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 _FILLER = re.compile(
-    rf"(?:\b(?:{'|'.join(_LATIN.split())})\b\W*){{6,}}|^lorem ipsum\W*$|\blorem ipsum dolor\b|\bsed ut perspiciatis unde\b|^(?:beispieltext|fülltext|musterinhalt|filler|filler text|test (?:text|content|inhalt|page|seite|post|beitrag))\W*$|^(?:dein|ihr|euer) (?:text|inhalt|titel) (?:hier|kommt hierhin|steht hier)\W*$|\bdies ist ein (?:blind|typo|muster|platzhalter)text\b|^(?:ein )?(?:blindtext|platzhaltertext|platzhalter|mustertext|placeholder|placeholder text|sample text|dummy text)\W*$"
+    rf"(?:\b(?:{'|'.join(_LATIN.split())})\b[\s,.;:!?]*){{6,}}|^lorem ipsum\W*$|\blorem ipsum dolor\b|\bsed ut perspiciatis unde\b|^(?:beispieltext|fülltext|musterinhalt|filler|filler text|test (?:text|content|inhalt|page|seite|post|beitrag))\W*$|^(?:dein|ihr|euer) (?:text|inhalt|titel) (?:hier|kommt hierhin|steht hier)\W*$|\bdies ist ein (?:blind|typo|muster|platzhalter)text\b|^(?:ein )?(?:blindtext|platzhaltertext|platzhalter|mustertext|placeholder|placeholder text|sample text|dummy text)\W*$"
     rf"|\b((?:sample|dummy|placeholder|filler) text)\b(?:\W+\1\b)+|\b(asdf|qwer|qwertz|qwerty|asd|jkl)\b(?:\W+\2\b)+|^(?:test\W+){{2,}}\d*\W*$|\btk ?tk\b|^(?:the )?(?:text|inhalt|bild|artikel|content|story|more) (?:folgt|to come|coming soon)\W*$"
     rf"|^hier (?:steht|kommt|folgt|erscheint) (?:sp(?:ä|ae)ter |bald |demn(?:ä|ae)chst )?(?:der|die|das|ihr|ein|dein) (?:\w+ )?(?:artikel|text|inhalt|titel|teaser|bild)\b|^bitte (?:hier )?(?:den |einen |ihren )?(?:text|inhalt|titel|bild) (?:einsetzen|einf(?:ü|ue)gen|erg(?:ä|ae)nzen|ersetzen)"
     rf"|^this is (?:a |some |the )?(?:placeholder|dummy|sample|filler|example) (?:copy|text|content|page|paragraph)\b|^replace (?:it|this|me|this text) with your own\b|\b(?:goes|comes) here\W*$|^(?:enter )?your [\w ]{{2,30}} here\W*$|^(?:add|type|insert|write) (?:your |some )?(?:text|content|headline|title) here\b"
@@ -81,11 +82,13 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"'”“)]*\s+(?=\S)")
 _LEAD = re.compile(r"^(?:[\s>*•·–—#|-]+|@[\w.-]+:\s*|https?://\S+\s*|(?:<(?!%|<|noscript)/?[a-z]+\d?\s*/?>\s*))+", re.I)
 #: Cheap tests before a search in the midst of a sentence. Each follows from the pattern it stands before: a gap begins with
 #: one of the signs, a hollow value is one of the words of _EMPTY, and a filler that need not begin the sentence holds one of
-#: the words or six of the customary ones. What has to begin the sentence is matched there, without a test before.
-_SIGN = re.compile(r"[{\[~$<%&]|__|@@|\*\||placeholder", re.I)
+#: the words or six of the customary ones, and a notice names scripts, a browser or parts of a page. What else has to begin
+#: the sentence is matched there, without a test before. Sentences that recur are judged once a worker.
+_SIGN, _CAPITAL_SIGN = re.compile(r"[{\[~$<%&]|__|@@|\*\|"), re.compile(r"[$%]|MM|XX")
 _HOLLOW_WORDS = ("undefined", "null", "none", "nan", "nil", "object object", "invalid date", "n/a")
 _FILLER_WORDS = ("lorem ipsum dolor", "sed ut perspiciatis", "dies ist ein ", "sample text", "dummy text", "placeholder text", "filler text", "asd", "qwer", "jkl", "tktk", "tk tk", " here")
-_LATIN_WORDS, _TOKEN = frozenset(_LATIN.split()), re.compile(r"\w+")
+_LATIN_WORDS, _LATIN_SIGNS = frozenset(_LATIN.split()), ",.;:!?"
+_SCRIPT_WORDS = ("script", "skript", "js", "browser", "some parts of")
 
 
 def _folded(s: str) -> str:
@@ -94,7 +97,11 @@ def _folded(s: str) -> str:
 
 
 def _may_be_filler(low: str) -> bool:
-    return any(w in low for w in _FILLER_WORDS) or sum(map(_LATIN_WORDS.__contains__, _TOKEN.findall(low))) >= 6
+    if any(w in low for w in _FILLER_WORDS):
+        return True
+    for c in _LATIN_SIGNS:
+        low = low.replace(c, " ")
+    return sum(map(_LATIN_WORDS.__contains__, low.split())) >= 6
 
 
 def evidence(line: str) -> str | None:
@@ -103,21 +110,26 @@ def evidence(line: str) -> str | None:
         return None
     for s in _SENTENCE.split(line):
         s = _LEAD.sub("", s.strip()).strip()
-        if not s:
-            continue
-        low = _folded(s)
-        if _SIGN.search(s) and any(not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45) for m in _GAP.finditer(s)):
-            return "gap"
-        if any(not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45) for m in _CAPITAL_GAP.finditer(s)):
-            return "gap"
-        if any(w in low for w in _HOLLOW_WORDS) and _HOLLOW.search(s):
-            return "gap"
-        if (m := _FILLER.match(s) or (_may_be_filler(low) and _FILLER.search(s))) and not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45):
-            return "filler"
-        if _SCRIPT.match(s) or ("<noscript" in low and _SCRIPT.search(s)):
-            return "script"
-        if _ERROR.match(s):
-            return "error"
+        if s and (kind := _of_sentence(s)):
+            return kind
+    return None
+
+
+@functools.lru_cache(maxsize=50_000)
+def _of_sentence(s: str) -> str | None:
+    low = _folded(s)
+    if (_SIGN.search(s) or "placeholder" in low) and any(not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45) for m in _GAP.finditer(s)):
+        return "gap"
+    if _CAPITAL_SIGN.search(s) and any(not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45) for m in _CAPITAL_GAP.finditer(s)):
+        return "gap"
+    if any(w in low for w in _HOLLOW_WORDS) and _HOLLOW.search(s):
+        return "gap"
+    if (m := _FILLER.match(s) or (_may_be_filler(low) and _FILLER.search(s))) and not _MENTION.search(s, max(0, m.start() - 60), m.end() + 45):
+        return "filler"
+    if any(w in low for w in _SCRIPT_WORDS) and (_SCRIPT.match(s) or ("<noscript" in low and _SCRIPT.search(s))):
+        return "script"
+    if _ERROR.match(s):
+        return "error"
     return None
 
 
