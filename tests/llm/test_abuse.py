@@ -56,3 +56,62 @@ def test_columns_nulls_and_sample(spark, model):
     sample = abuse.corpus_sample([(many, "text", ["id"])], 100)
     assert len(sample) == 100 and sample == abuse.corpus_sample([(many.repartition(7), "text", ["id"])], 100)
     assert abuse.corpus_sample([(many.limit(0), "text", ["id"])], 100) == []
+
+
+#: Sentences in words of their own, written apart from the patterns of the training text.
+OTHER_ABUSE = """Your whole family is a waste of oxygen.
+Shut up, you miserable little worm.
+I will smash your face in when I see you.
+Those people are nothing more than filthy dogs.
+Somebody please put a bullet in that senator.
+You dumb cow, go back to the kitchen.
+He is a spineless clown and a dirty rat.
+I'd love to rip your clothes off, baby.
+These immigrants are maggots feeding on us.
+You retarded monkey, learn to read.
+Hope you get cancer and suffer.
+We know your address, sleep well tonight.
+What a fat ugly pig she is.
+All of them should be gassed.
+Blow me, bitch.
+Du bist der letzte Dreck.
+Halt einfach die Schnauze, du Missgeburt.
+Solche Leute gehören an die Wand gestellt.
+Ich breche dir jeden Knochen einzeln.
+Diese Parasiten leben auf unsere Kosten wie Ungeziefer.
+Die dumme Kuh soll zurück an den Herd.
+Verreck doch endlich, du Ratte.
+Zieh dich aus, ich will deine Brüste sehen.
+Die Politikerin ist eine hirnlose Schlampe.""".split("\n")
+OTHER_HARMLESS = """The worm farm at the school won a prize.
+He smashed the record at the regatta.
+My dog is filthy after the walk.
+She put the senator's letter on the table.
+The kitchen of the town hall is being repaired.
+The clown at the fair made the children laugh.
+The monkey house at the zoo opens on Friday.
+She survived cancer and thanked the clinic.
+We know the address of the new library.
+The gas bill is outrageous, I am furious about this council.
+This budget is an idiotic mess and an insult to taxpayers.
+He was called a pig in the street and pressed charges.
+Calling refugees maggots is disgusting, stop it.
+The court heard that he had written 'I will break your bones'.
+The rat trap in the cellar caught nothing.
+Die Kuh auf der Weide ist trächtig.
+Der Dreck am Ufer muss weg.
+Die Wand im Rathaus wird gestrichen.
+Er brach sich beim Turnen zwei Knochen.
+Wer andere als Ratten bezeichnet, wird angezeigt.
+Ungeziefer im Getreidespeicher kostet die Bauern viel Geld.
+Diese Entscheidung ist eine Frechheit, ich bin stinksauer.
+Brustkrebs wird früh erkannt besser geheilt.
+Die Ausstellung zeigt nackte Figuren aus Bronze.""".split("\n")
+ORDINARY = ["The council met on Monday and spoke about the bridge.", "My neighbour counted twelve buses in one morning.", "Thank you for the summary.", "The library opens at nine.", "Im Protokoll steht das anders.", "Die Schule wird im Mai saniert."]
+
+
+def test_other_words_than_those_of_the_training_text():
+    """How far the model carries: most of the abuse, and few of the harmless sentences."""
+    model = abuse.train(ORDINARY)
+    found = [(abuse.scores(pd.Series(x), *model) >= abuse.LIMIT).sum() for x in (OTHER_ABUSE, OTHER_HARMLESS)]
+    assert found[0] >= 0.7 * len(OTHER_ABUSE) and found[1] <= 0.25 * len(OTHER_HARMLESS)
