@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats, text
 from corpusloom.functions.time import in_range as ranged
 from corpusloom.functions.time import iso_week, to_timestamp
 from corpusloom.functions.uri import normal_uuid
-from corpusloom.operators import authors, compositions, latest, model, roots, sampling, threads
+from corpusloom.operators import authors, compositions, incremental, integrity, latest, model, roots, sampling, structure, threads
 from corpusloom.operators.ranks import with_rank
-from corpusloom.plans.analysis import _ACT, _NEW, _ORDER, _OUT, _TREE, _WHI, _WLO
+from corpusloom.plans.analysis import _ACT, _NEW, _ORDER, _OUT, _SR, _TREE, _WHI, _WLO
 from corpusloom.plans.problems import sql_uuid
-from corpusloom.plans.views import LABELS, NOTES, POSTS, SCORES, Views, at, in_range
+from corpusloom.plans.views import LABELS, MESSAGES, NOTES, POSTS, SCORES, Views, at, in_range
+from corpusloom.session import shared_dir
+from corpusloom.sources import documents, jsonl
 
 QUERIES, SQL = {}, {}
 
@@ -219,3 +223,52 @@ def _(v):
 @query("S9_first_model", f"{A}, {SCORES} SELECT head, arg_min(model, seq) AS model FROM s GROUP BY 1")
 def _(v):
     return v.scores.groupBy("head").agg(F.min_by("model", "seq").alias("model"))
+
+
+@query("I1_resume_cursors", f"WITH {MESSAGES}, l AS (SELECT channel, arg_max(coalesce(text, '') = '' OR msg_id % 3 = 0, msg_id) AS failed, max(msg_id) AS newest FROM m GROUP BY 1) SELECT channel, CASE WHEN failed AND newest > 90000 - {incremental.RESUME_HOURS} * 3600 THEN newest END AS cursor FROM l")
+def _(v):
+    status = F.when((F.coalesce("text", F.lit("")) == "") | (F.col("msg_id") % 3 == 0), "failed").otherwise("ok")
+    log = v.messages.select("channel", status.alias("status"), F.col("msg_id").alias("cursor"), F.col("msg_id").cast("double").alias("at"))
+    return incremental.resume_cursor(log, "channel", 90_000.0)
+
+
+@query("I5_tree_states", """SELECT z_pk, CASE WHEN s = 'complete' OR o IN (0, 2) THEN 'complete' WHEN o = 1 THEN 'inProgress' ELSE s END AS state FROM (SELECT z_pk, lower(trim(zreplytreestatus)) AS s, zlikecount % 4 AS o FROM zpost WHERE zisrootpost = 1)""")
+def _(v):
+    tops = v.raw("zpost").filter("zisrootpost = 1").select("z_pk", F.lower(F.trim("zreplytreestatus")).alias("s"), F.element_at(F.array(*[F.lit(x) for x in ("ok", "partial", "gone", "retry")]), (F.col("zlikecount") % 4 + 1).cast("int")).alias("o"))
+    return tops.select("z_pk", incremental.next_state(F.col("s"), F.col("o")).alias("state"))
+
+
+@query("K6_leaves", f"{_SR} SELECT count(*) AS n_scored, count(*) AS n_in_leaves FROM y WHERE score IS NOT NULL")
+def _(v):
+    rows = structure.scored_replies(v.posts, v.latest_scores)
+    cube = structure.escalation(rows, v.latest_scores)
+    n = rows.filter("score IS NOT NULL").count()
+    integrity.leaves_add_up(cube, "n", n, ["outlet_name", "depth_bucket"])
+    return cube.filter("outlet_name <> 'ALL' AND depth_bucket <> 'ALL'").agg(F.lit(n).cast("long").alias("n_scored"), F.sum("n").alias("n_in_leaves"))
+
+
+@query("S12_markdown_table", "SELECT username, coalesce(status, '') AS status FROM channels")
+def _(v):
+    shown = documents.markdown(v.raw("channels").select("username", "status"), "Channels", ["as they stand"])
+    rows = [[c.strip() for c in line.strip("|").split("|")] for line in shown.splitlines() if line.startswith("| ")][1:]
+    return v.spark.createDataFrame(rows, "username string, status string")
+
+
+@query("S14_sealed", "SELECT true AS intact, false AS intact_when_changed")
+def _(v):
+    folder = f"{shared_dir(v.spark)}/sealed-{uuid.uuid4().hex}"
+    jsonl.write_jsonl(v.scores.select("uri", "score"), folder)
+    local = folder.removeprefix("file://")
+    jsonl.seal(local)
+    before = jsonl.verify(local)
+    with open(f"{local}/part-added.json", "w") as f:
+        f.write("{}")
+    return v.spark.createDataFrame([(before, jsonl.verify(local))], "intact boolean, intact_when_changed boolean")
+
+
+@query("S20_review_entries", "SELECT uri, max(speech_class) AS class FROM evalset WHERE uri IS NOT NULL GROUP BY 1")
+def _(v):
+    folder = f"{shared_dir(v.spark)}/reviews-{uuid.uuid4().hex}"
+    once = v.raw("evalset").filter("uri IS NOT NULL").groupBy("uri").agg(F.max("speech_class").alias("class"))
+    once.select(F.concat(F.lit("# Review\n\n## "), "uri", F.lit("\nclass: "), "class", F.lit("\nreviewed: yes\nThe class: of this text is a quotation.")).alias("value")).write.text(folder)
+    return documents.review_entries(v.spark, folder).select("uri", "class")
