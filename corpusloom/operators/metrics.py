@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.stats import share
 from corpusloom.operators.ranks import with_rank, with_running
+from corpusloom.session import durable
 
 #: Fixed value: a language is reported, but its AUC suppressed, with fewer rows of either class.
 LEAST_PER_CLASS = 20
+#: Queries of a similarity search that are sent to the vectors at once.
+QUERY_BLOCK = 4096
 
 
 def roc_auc(rows: DataFrame, score: str, label: str, by: list[str] = []) -> DataFrame:
@@ -139,42 +147,43 @@ def folds_summary(folds: DataFrame, value: str, train: str) -> DataFrame:
     return folds.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.avg(F.col(train) - F.col(value)).alias("overfit_gap"))
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, n: int) -> DataFrame:
-    """For each of the ``queries`` (a stated, bounded set) its ``n`` most similar vectors by cosine.
+def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, n: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """For each of the ``queries`` (a stated set) its ``n`` most similar vectors by cosine; ties go by key.
 
-    The queries travel in blocks to the vectors, every task keeps its own best n, and those are ranked.
+    Queries travel to the vectors in blocks of at most ``block``, each in a pass of its own; every task keeps its own best
+    n, and those are ranked. A query is no match of itself; a vector of zeros has a cosine of 0 with all.
     """
-    import numpy as np
-    import pandas as pd
-
-    own = queries.select(key, vector).orderBy(key).toPandas()
-    if own.empty:
+    ranked = with_rank(queries.select(key, vector).filter(F.col(key).isNotNull() & F.col(vector).isNotNull()), [key], "_q")
+    total = ranked.count()
+    parts = [durable(_nearest(vectors, key, vector, ranked.filter((F.col("_q") > low) & (F.col("_q") <= low + block)).drop("_q").orderBy(key).toPandas(), n), "nearest") for low in range(0, total, block)]
+    if not parts:
         return vectors.select(F.col(key).alias("query"), F.col(key).alias("match"), F.lit(0.0).alias("cosine")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(vectors: DataFrame, key: str, vector: str, own: pd.DataFrame, n: int) -> DataFrame:
     q = np.array(own[vector].tolist(), dtype=np.float64)
     norms = np.linalg.norm(q, axis=1, keepdims=True)
     q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
-    ids = own[key].to_numpy()
-    held = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    held = vectors.sparkSession.sparkContext.broadcast((own[key].to_numpy(), q))
 
     def best(batches):
         ids, q = held.value
         top_s, top_i = np.full((len(ids), n), -2.0), np.zeros((len(ids), n), dtype=np.int64)
         for pdf in batches:
+            pdf = pdf[pdf[vector].notna() & pdf[key].notna()]
             if not len(pdf):
                 continue
             v = np.array(pdf[vector].tolist(), dtype=np.float64)
             lengths = np.linalg.norm(v, axis=1, keepdims=True)
             s = q @ np.divide(v, lengths, out=np.zeros_like(v), where=lengths > 0).T
-            mine = pdf[key].to_numpy()
+            mine = pdf[key].to_numpy(np.int64)
             s[ids[:, None] == mine[None, :]] = -2.0
             both, who = np.hstack([top_s, s]), np.hstack([top_i, np.broadcast_to(mine, s.shape)])
             order = np.lexsort((who, -both), axis=1)[:, :n]
             top_s, top_i = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
         keep = top_s > -2
-        at = np.nonzero(keep)[0]
-        yield pd.DataFrame({"query": ids[at], "match": top_i[keep], "cosine": top_s[keep]})
-
-    from pyspark.sql import Window as W
+        yield pd.DataFrame({"query": ids[np.nonzero(keep)[0]], "match": top_i[keep], "cosine": top_s[keep]})
 
     found = vectors.select(key, vector).mapInPandas(best, "query long, match long, cosine double")
     w = W.partitionBy("query").orderBy(F.desc("cosine"), "match")

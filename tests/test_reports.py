@@ -1,10 +1,13 @@
 """Whole reports and page walks on small fixtures."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats, text
-from corpusloom.operators import compositions, latest
+from corpusloom.operators import compositions, latest, metrics
 from corpusloom.sources.backfill import ChannelFolder, walk
 
 SCHEMA = "channel string, msg_id long, text string, fetched_at string"
@@ -90,3 +93,20 @@ def test_frame_summaries(spark):
 def test_time_left(spark):
     df = spark.createDataFrame([(10.0, 0, 5), (10.0, 2, 5), (10.0, 5, 5)], "t double, a int, b int")
     assert [r[0] for r in df.select(stats.time_left(F.col("t"), F.col("a"), F.col("b"))).collect()] == [None, 15.0, None]
+
+
+@pytest.mark.parametrize("block", [3, 100])
+def test_nearest_in_blocks_of_queries(spark, block):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(60)] + [(60, [0.0] * 5), (61, None)]
+    df = spark.createDataFrame(rows, "k long, v array<double>").repartition(4)
+    got = {}
+    for r in metrics.nearest(df, "k", "v", df.filter("k % 6 = 0"), 4, block).collect():
+        got.setdefault(r["query"], []).append((-r["cosine"], r["match"]))
+    size = lambda x: math.sqrt(sum(a * a for a in x))
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / (size(x) * size(y)) if size(x) * size(y) else 0.0
+    assert set(got) == {k for k, v in rows if k % 6 == 0 and v}
+    for q, found in got.items():
+        want = sorted((-cos(rows[q][1], v), k) for k, v in rows if v and k != q)[:4]
+        assert [round(c, 9) for c, _ in sorted(found)] == [round(c, 9) for c, _ in want]
+    assert metrics.nearest(df, "k", "v", df.limit(0), 4).count() == 0
