@@ -137,7 +137,7 @@ def _(v):
 @query("C13_parsed_answers", f"{A} SELECT z_pk, class, least(1.0, greatest(0.0, coalesce(confidence, 0))) AS confidence, severity FROM a WHERE stage = 'llm' AND class IN ('hate', 'counter', 'neutral')")
 def _(v):
     rows = v.notes.filter("stage = 'llm'")
-    answer = F.concat(F.lit("Sure } here: "), F.to_json(F.struct("class", "confidence", "severity", F.lit('so "{" it is').alias("reasoning"))), F.lit(" and {more"))
+    answer = F.concat(F.lit('The char "{" matters, } so: '), F.to_json(F.struct("class", "confidence", "severity", F.lit('so "{" it is').alias("reasoning"))), F.lit(" and {more"))
     found = classify.parsed(rows.select("z_pk", answer.alias("answer")), "answer").filter("parsed IS NOT NULL")
     return found.select("z_pk", "parsed.class", "parsed.confidence", "parsed.severity")
 
