@@ -135,7 +135,8 @@ def fit(lines: list[str], labels: np.ndarray, start: tuple[np.ndarray, float] |
     parts, bad, good = [], np.full(size, ALPHA), np.full(size, ALPHA)
     for at in range(0, n, CHUNK):
         buckets, owners = _features(lines[at : at + CHUNK])
-        pairs = np.unique(owners.astype(np.int64) << BITS | buckets)
+        pairs = np.sort(owners.astype(np.int64) << BITS | buckets)
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
         owners, buckets = pairs >> BITS, (pairs & (size - 1)).astype(np.int32)
         counts = np.bincount(owners, minlength=len(lines[at : at + CHUNK]))
         mine = y[at : at + CHUNK]
